@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, chat, langid, packing, quality
+from tidelog.llm import bpe, chat, dedup, fingerprint, html, langid, packing, quality, warc
 from tidelog.llm.common import table
 
 
@@ -19,10 +19,26 @@ def op3_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_imatch_lexicons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.against_edited(table(spark, sf_dir, "documents"))
+
+
+def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(table(spark, sf_dir, "conversations"))
 
 
+def op8_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe_transducer(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     """ranks: the rank file's path on the driver; workers get its bytes."""
     import public_tokenizers
@@ -45,9 +61,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_importance_resampling,
         op3_length_buckets,
+        op4_imatch_lexicons,
+        op5_hyperminhash,
+        op6_warc_segments,
         op7_snapshot_collapse,
+        op8_site_style_tree,
         op9_bpe_transducer,
         op10_language_mixture,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op7_snapshot_collapse": chat.COLLAPSE_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_warc_segments": warc.ROUND_TRIP_SQL, "op7_snapshot_collapse": chat.COLLAPSE_SQL}
