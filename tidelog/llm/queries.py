@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import bpe, chat, dedup, fingerprint, html, langid, packing, quality, warc
+from tidelog.llm import bpe, chat, dedup, fingerprint, html, langid, packing, quality, search, warc
 from tidelog.llm.common import table
 
 
+def op1_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the whole texts of the documents whose id is divisible by 100."""
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+
+
 def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +65,7 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_block_max_wand,
         op2_importance_resampling,
         op3_length_buckets,
         op4_imatch_lexicons,
@@ -70,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_language_mixture,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op6_warc_segments": warc.ROUND_TRIP_SQL, "op7_snapshot_collapse": chat.COLLAPSE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_block_max_wand": search.TOP_K_SQL, "op6_warc_segments": warc.ROUND_TRIP_SQL, "op7_snapshot_collapse": chat.COLLAPSE_SQL}
