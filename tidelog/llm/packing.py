@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import WORD
+from tidelog.llm.common import WORD, staged
 
 #: Rows of a bucket that are numbered in one task, about.
 PART_ROWS = 20_000
@@ -64,7 +64,8 @@ def pack(docs: DataFrame, buckets: int = 8, budget: int = 65_536) -> DataFrame:
     hash of the id, so no bucket is numbered in one task. Ties of equal rows go either way and give equal columns.
     """
     lengths = docs.select("doc_id", word_count(F.col("text")).alias("n_tokens"), F.xxhash64("doc_id", "text").alias("_h"))
-    lengths = lengths.withColumn("_top", bin_top(F.col("n_tokens")))
+    # Written once: the optimiser would put the count of words into every expression that asks for it.
+    lengths = staged(lengths).withColumn("_top", bin_top(F.col("n_tokens")))
     hist = lengths.groupBy("_top").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).toPandas().sort_values("_top")
     tops = boundaries(hist["_top"].to_numpy(np.int64), hist["n"].to_numpy(np.int64), buckets)
     if not tops:
