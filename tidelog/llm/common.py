@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,9 +34,9 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z in lower case and nothing else changed."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def with_id(docs: DataFrame, id_col: str, more: str) -> StructType:
+    """The schema of a function's rows: the id as it is in docs (a struct of other columns, say), then more."""
+    return StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL(more).fields])
 
 
 #: Keys of kth_largest lie within 48 bits and are found 16 bits at a time, so that the driver sees 65536 counts at most.

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import with_id
+
 #: Buckets of trigrams; a model has this many floats per language, whatever the corpus holds.
 BUCKETS = 1 << 15
 #: Odd multipliers that spread the three letters of a trigram over 32 bits.
@@ -118,7 +120,6 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, id_col: str = "
     letter is `und` with score 0 and no languages. Equal texts get equal rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(logs.astype(np.float32))
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         logs = model.value.astype(np.float64)
@@ -130,7 +131,7 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, id_col: str = "
                 ["id", "lang_pred", "score", "langs", "shares"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, lang_pred string, score double, langs array<string>, shares array<double>").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(run, with_id(docs, id_col, "lang_pred string, score double, langs array<string>, shares array<double>")).withColumnRenamed("id", id_col)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -12,10 +12,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import kth_largest, staged
+from tidelog.llm.common import KEY_BITS, kth_largest, staged, with_id
 
 #: Buckets of words and of word pairs, together the size of a model.
 WORDS, PAIRS = 1 << 14, 1 << 14
@@ -78,44 +78,76 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smoothing: float = 1.0) -> np
     return np.concatenate(parts)
 
 
-def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(doc_id, log_weight): the sum of the log ratios of a text's features; 0 for a text that is null or has none."""
+def weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id") -> DataFrame:
+    """(id, log_weight): the sum of the log ratios of a text's features; 0 for a text that is null or has none."""
     model = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches):
         for b in batches:
             w = [float(np.round(model.value[features(t)].sum(), 6)) if t else 0.0 for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w, pa.float64())], ["doc_id", "log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w, pa.float64())], ["id", "log_weight"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_weight double")
+    return docs.select(id_col, "text").mapInArrow(run, with_id(docs, id_col, "log_weight double")).withColumnRenamed("id", id_col)
 
 
-def resample(weighted: DataFrame, k: int | None = None, slack: float = 3.0, seed: int = 17) -> DataFrame:
-    """weighted with gumbel_key and selected: k documents drawn without replacement in proportion to their weights.
+def gumbel_key(doc_id: Column, seed: int) -> Column:
+    """log_weight plus Gumbel noise from the hash of the id."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    return F.col("log_weight") - F.log(-F.log(uniform))
+
+
+def steps(key: Column) -> Column:
+    """A key in whole millionths, within what kth_largest can hold."""
+    limit = float((1 << KEY_BITS - 1) - 1)
+    return F.greatest(F.lit(-limit), F.least(F.lit(limit), F.round(key * 1e6))).cast("long")
+
 
-    k None: the expected number that acceptance sampling would keep, the sum of min(1, weight x e**slack). The k-th key is
-    found exactly by counting; rows that tie with it (repeated rows, say) are all selected. Keys are in steps of a
-    millionth. weighted is read several times.
+def resampling_cut(weighted: DataFrame, k: int | None, slack: float, seed: int) -> int | None:
+    """steps() of the k-th largest key; None if k is no less than the number of rows.
+
+    k None: the expected number that acceptance sampling would keep, the sum of min(1, weight x e**slack).
     """
     if k is None:
         k = weighted.agg(F.sum(F.exp(F.least(F.lit(0.0), F.col("log_weight") + slack)))).first()[0]
         k = int(np.ceil(k or 0))
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    keyed = weighted.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
-    limit = float((1 << 47) - 1)
-    keyed = keyed.withColumn("_key", F.greatest(F.lit(-limit), F.least(F.lit(limit), F.round(F.col("gumbel_key") * 1e6))).cast("long"))
-    cut = kth_largest(keyed, "_key", k)
-    selected = F.lit(k > 0) if cut is None else F.col("_key") >= cut
-    return keyed.withColumn("selected", selected).drop("_key")
+    if k < 1:
+        return (1 << KEY_BITS - 1) - 1
+    return kth_largest(weighted.select(steps(gumbel_key(F.col("doc_id"), seed)).alias("key")), "key", k)
 
 
-def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, slack: float = 3.0, seed: int = 17) -> DataFrame:
-    """(doc_id, log_weight, gumbel_key, selected) of each document.
+def resample(weighted: DataFrame, k: int | None = None, slack: float = 3.0, seed: int = 17) -> DataFrame:
+    """weighted with gumbel_key and selected: k documents drawn without replacement in proportion to their weights.
 
-    The target is every document with label quality 1; the raw model counts all documents. Documents that share an id
-    share a label. A null or empty text has weight 0, a null id never has a label.
+    The k-th key is found exactly by counting; rows that tie with it (repeated rows, say) are all selected. weighted is read
+    several times.
     """
-    good = labels.where(F.col("quality") == 1).select("doc_id").distinct()
+    cut = resampling_cut(weighted, k, slack, seed)
+    keyed = weighted.withColumn("gumbel_key", gumbel_key(F.col("doc_id"), seed))
+    return keyed.withColumn("selected", F.lit(True) if cut is None else steps(F.col("gumbel_key")) >= cut)
+
+
+def model(docs: DataFrame, labels: DataFrame, fit_ids: int) -> np.ndarray:
+    good = labels.where(F.col("quality") == 1).select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(fit_ids)
     raw = counts(docs)
-    target = counts(docs.select("doc_id", "text").join(good, "doc_id", "left_semi"))
-    return resample(staged(weights(docs, log_ratio(target, raw))), k, slack, seed)
+    target = counts(docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left_semi"))
+    return log_ratio(target, raw)
+
+
+def classify(docs: DataFrame, labels: DataFrame, k: int | None = None, slack: float = 3.0, seed: int = 17, fit_ids: int = 200_000) -> DataFrame:
+    """(doc_id, log_weight, gumbel_key, selected) of each document.
+
+    The target model is fitted on the documents with label quality 1, or on fit_ids of their ids by hash if there are more
+    (the bound on what is broadcast); the raw model counts all documents. Documents that share an id share a label. A null
+    or empty text has weight 0, a null id never has a label.
+    """
+    return resample(staged(weights(docs, model(docs, labels, fit_ids))), k, slack, seed)
+
+
+def select(docs: DataFrame, labels: DataFrame, k: int | None = None, slack: float = 3.0, seed: int = 17, fit_ids: int = 200_000) -> DataFrame:
+    """The rows of docs, all columns, that classify() selects. The weights are computed again instead of joined: no shuffle."""
+    ratio = model(docs, labels, fit_ids)
+    cut = resampling_cut(staged(weights(docs, ratio)), k, slack, seed)
+    rows = weights(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text"), ratio, "row")
+    if cut is not None:
+        rows = rows.where(steps(gumbel_key(F.col("row.doc_id"), seed)) >= cut)
+    return rows.select("row.*")
