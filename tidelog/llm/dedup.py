@@ -229,3 +229,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reached = node.join(found, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return reached.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that near_duplicates() keeps: one document of each group."""
+    gone = staged(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("node")).distinct())
+    gone_ids = gone.select(F.col("node").alias("doc_id"))
+    return docs.join(F.broadcast(gone_ids) if gone.count() <= BROADCAST_IDS else gone_ids, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
