@@ -1,7 +1,7 @@
 """Quality by importance resampling: how much likelier a text is under the target's hashed n-grams than under the corpus's.
 
 Two generative models, of texts that are labelled good and of all texts, are bags of hashed words and word pairs. A
-document's log importance weight is the log ratio of its likelihoods; adding Gumbel noise and taking the k largest
+document's log importance weight is the log ratio of its likelihoods, plus a small margin per feature; adding Gumbel noise and taking the k largest
 draws k documents without replacement in proportion to their weights.
 """
 
@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import KEY_BITS, kth_largest, staged, with_id
 
-#: Buckets of words and of word pairs, together the size of a model.
-WORDS, PAIRS = 1 << 14, 1 << 14
+#: Buckets of words and of word pairs, together the size of a model. Few, so that a small corpus fills them: a bucket that
+#: holds little but one document's words says that the document isn't labelled, not that it is bad.
+WORDS, PAIRS = 1 << 10, 1 << 10
+#: Part of the corpus's own distribution in the target's, and nats a feature may fall short; both favour keeping.
+MIX, MARGIN = 0.3, 0.04
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Words of which a worker remembers the hash.
 MEMO = 500_000
@@ -66,15 +69,15 @@ def counts(texts: DataFrame) -> np.ndarray:
     return total
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
-    """Log of target over raw by bucket; words and pairs are a distribution each. Without any target text it is 0."""
+def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Log of target over raw by bucket, plus MARGIN; words and pairs are a distribution each. Without target text it is 0."""
     if not target.any():
         return np.zeros(WORDS + PAIRS)
     parts = []
     for part in (slice(None, WORDS), slice(WORDS, None)):
-        t, r = target[part] + smoothing * raw[part] / max(1.0, raw[part].sum()) * WORDS, raw[part]
-        r = r + 1e-9
-        parts.append(np.log(np.maximum(t, 1e-9) / t.sum()) - np.log(r / r.sum()))
+        r = (raw[part] + 1e-9) / (raw[part] + 1e-9).sum()
+        t = (target[part] + WORDS * r) / (target[part].sum() + WORDS)
+        parts.append(np.log((1 - MIX) * t + MIX * r) - np.log(r) + MARGIN)
     return np.concatenate(parts)
 
 
