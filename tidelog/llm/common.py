@@ -34,6 +34,16 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a Python worker gets at a time. Spark's default of 10,000 is for narrow rows; these hold whole texts.
+ARROW_ROWS = 1000
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with batches of ARROW_ROWS rows, a setting of the session that this leaves set."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def with_id(docs: DataFrame, id_col: str, more: str) -> StructType:
     """The schema of a function's rows: the id as it is in docs (a struct of other columns, say), then more."""
     return StructType([StructField("id", docs.schema[id_col].dataType), *StructType.fromDDL(more).fields])

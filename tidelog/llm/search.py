@@ -19,14 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import staged
+from tidelog.llm.common import map_arrow, staged
 
 TERM = re.compile(r"\w+")
 K1, B, UNIT = 1.2, 0.75, 1_000_000
 #: Documents of a shard, and of a block of it. A list of a sixteenth of the shard or more is a long one.
 SHARD, BLOCK, LONG = 16_384, 64, 16
+#: Documents that are scored for a first threshold; more than any k in use, or else there is none.
+FIRST = 256
 #: Words of which a worker remembers the hash, and postings that it counts before it passes the counts on.
-MEMO, POSTINGS = 500_000, 4_000_000
+MEMO, POSTINGS = 100_000, 4_000_000
 
 
 class Hashes(dict):
@@ -67,7 +69,7 @@ def statistics(docs: DataFrame) -> tuple[int, float, DataFrame]:
         term, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(n, pa.int64())], ["term", "df"])
 
-    rows = staged(docs.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")))
+    rows = staged(map_arrow(docs.select("text"), run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")))
     whole = dict(rows.where("term < 0").collect())
     n = whole.get(-1, 0)
     return n, whole.get(-2, 0) / n if n else 0.0, rows.where("term >= 0")
@@ -82,73 +84,71 @@ class Shard:
         order = sorted(range(self.n), key=lambda i: (bags[i][0][np.argmax(bags[i][1])] if len(bags[i][0]) else -1, lengths[i]))
         self.ids = np.array([ids[i] for i in order], np.int64)
         term = np.concatenate([*(bags[i][0] for i in order), np.zeros(0, np.int64)])
-        doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(bags[i][0]) for i in order])
-        tf = np.concatenate([*(bags[i][1] for i in order), np.zeros(0, np.int64)]).astype(np.float64)
-        long_ = np.array([lengths[i] for i in order], np.float64)[doc]
-        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * long_ / (mean or 1)))
         by_term = np.argsort(term, kind="stable")
-        self.doc, self.weight, term = doc[by_term], weight[by_term], term[by_term]
+        term = term[by_term]
         start = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
         self.term, self.start = term[start], np.append(start, len(term))
+        self.doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(bags[i][0]) for i in order])[by_term]
+        self.tf = np.concatenate([*(bags[i][1] for i in order), np.zeros(0, np.int64)]).astype(np.int32)[by_term]
+        self.norm = K1 * (1 - B + B * np.array([lengths[i] for i in order], np.float64) / (mean or 1))
         self.blocks = -(-self.n // BLOCK)
-        self.short: dict[int, tuple] = {}
-        self.rows: dict[int, int] = {}
-        #: Scores of the long lists, [list, document], and their maxima, [list, block].
-        self.table = np.zeros((0, self.n), np.int32)
-        self.maxima = np.zeros((0, self.blocks), np.int64)
-
-    def load(self, places: np.ndarray, df: np.ndarray) -> None:
-        """Scores of lists that no query has asked for yet; the idf of a term is the same in all queries."""
-        new = []
+        #: Lists that a query has asked for: documents and scores of a short one; scores of all documents and block maxima of a
+        #: long one.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.long: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def load(self, at: int, df: int) -> None:
+        """The list of a term; the idf of a term is the same in all queries."""
         idf = np.log(1 + (self.documents - df + 0.5) / (df + 0.5))
-        for at, i in zip(places.tolist(), idf.tolist(), strict=True):
-            if at in self.short or at in self.rows:
-                continue
-            doc, score = self.doc[self.start[at] : self.start[at + 1]], np.rint(UNIT * i * self.weight[self.start[at] : self.start[at + 1]])
-            if len(doc) * LONG < self.n:
-                self.short[at] = doc, score.astype(np.int64)
-            else:
-                row = np.zeros(self.n, np.int32)
-                row[doc] = score
-                self.rows[at] = len(self.table) + len(new)
-                new.append(row)
-        if new:
-            self.table = np.concatenate([self.table, np.stack(new)])
-            padded = np.zeros((len(new), self.blocks * BLOCK), np.int64)
-            padded[:, : self.n] = new
-            self.maxima = np.concatenate([self.maxima, padded.reshape(len(new), self.blocks, BLOCK).max(2)])
+        doc, tf = self.doc[self.start[at] : self.start[at + 1]].astype(np.int64), self.tf[self.start[at] : self.start[at + 1]].astype(np.float64)
+        score = np.rint(UNIT * idf * (tf * (K1 + 1) / (tf + self.norm[doc])))
+        if len(doc) * LONG < self.n:
+            self.short[at] = doc, score
+        else:
+            row = np.zeros(self.blocks * BLOCK, np.int64)
+            row[doc] = score
+            self.long[at] = row[: self.n], row.reshape(self.blocks, BLOCK).max(1)
 
     def top(self, term: np.ndarray, df: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best documents with a positive score; of equal scores the smaller ids."""
-        if not self.n:
-            return self.ids, np.zeros(0, np.int64)
-        at = np.searchsorted(self.term, term)
-        known = (at < len(self.term)) & (self.term[np.minimum(at, len(self.term) - 1)] == term) if len(self.term) else np.zeros(len(term), bool)
-        at = at[known]
-        self.load(at, df[known].astype(np.float64))
-        score = np.zeros(self.n, np.int64)
-        looked_up = []
-        for p in at.tolist():
-            walked = self.short.get(p)
-            if walked is None:
-                looked_up.append(self.rows[p])
+        if not self.n or not len(self.term):
+            return self.ids[:0], np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.term, term), len(self.term) - 1)
+        known = self.term[at] == term
+        walked, looked_up = [], []
+        for p, n in zip(at[known].tolist(), df[known].tolist(), strict=True):
+            if p not in self.short and p not in self.long:
+                self.load(p, n)
+            if p in self.short:
+                walked.append(self.short[p])
             else:
-                score[walked[0]] += walked[1]
+                looked_up.append(self.long[p])
+        score = np.zeros(self.n, np.int64)
+        if walked:  # whole numbers below 2**53, so the sums of floats are exact
+            docs, scores = (np.concatenate(x) for x in zip(*walked, strict=True))
+            score = np.bincount(docs, scores, self.n).astype(np.int64)
         if not looked_up:
             return self.best(np.flatnonzero(score), score, k)
-        bound = score + np.repeat(self.maxima[looked_up].sum(0), BLOCK)[: self.n]
-        # The k of best bounds are scored first, for a threshold; then whatever may still be over it, or equal to it.
-        first = np.argpartition(-bound, k - 1)[:k] if k < self.n else np.arange(self.n)
-        full = score[first] + self.table[np.ix_(looked_up, first)].sum(0, dtype=np.int64)
-        threshold = max(1, full.min()) if len(first) == k else 1
+        most = looked_up[0][1].copy()
+        for _, maxima in looked_up[1:]:
+            most += maxima
+        bound = score + np.repeat(most, BLOCK)[: self.n]
+        # Some of the best bounds are scored first, for a threshold; then whatever may still reach it.
+        first = np.argpartition(-bound, FIRST)[:FIRST] if FIRST < self.n else np.arange(self.n)
+        full = score[first]
+        for row, _ in looked_up:
+            full += row[first]
+        threshold = max(1, np.partition(full, -k)[-k]) if len(full) >= k else 1
         rest = np.flatnonzero(bound >= threshold)
-        for part in np.array_split(rest[np.argsort(-bound[rest], kind="stable")], max(1, len(rest) // 1024)):
-            part = part[bound[part] >= threshold]
-            score[part] += self.table[np.ix_(looked_up, part)].sum(0, dtype=np.int64)
-            bound[part] = score[part]
-            if len(part) >= k:
-                threshold = max(threshold, np.partition(score[part], -k)[-k])
-        return self.best(rest[(bound[rest] >= threshold) & (score[rest] > 0) & (score[rest] == bound[rest])], score, k)
+        if len(rest) * 8 < self.n:
+            full = score[rest]
+            for row, _ in looked_up:
+                full += row[rest]
+            score[rest] = full
+        else:  # where most documents may reach it, whole rows are added faster than parts are picked
+            for row, _ in looked_up:
+                score += row
+        return self.best(rest[score[rest] >= threshold], score, k)
 
     def best(self, some: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((self.ids[some], -score[some]))[:k]
@@ -172,7 +172,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD)
             found = [np.unique(terms(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["query_id", "term"])
 
-    words = queries.where("query_id IS NOT NULL").select("query_id", "text").mapInArrow(asked, "query_id long, term array<long>").select("query_id", F.explode("term").alias("term"))
+    words = map_arrow(queries.where("query_id IS NOT NULL").select("query_id", "text"), asked, "query_id long, term array<long>").select("query_id", F.explode("term").alias("term"))
     words = words.join(df, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", F.col("df").cast("int").alias("df"))).alias("words"))
     words = words.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.lit(None).cast("string").alias("text"), F.col("words.term").alias("term"), F.col("words.df").alias("df"))
     held = docs.where("doc_id IS NOT NULL").select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "text", F.lit(None).cast("array<long>").alias("term"), F.lit(None).cast("array<int>").alias("df"))
@@ -194,13 +194,13 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD)
                     if index is None:
                         index = Shard(ids, bags, lengths, documents, mean)
                         bags.clear()
-                    found, score = index.top(term[i].values.to_numpy(), df[i].values.to_numpy(), k)
+                    found, score = index.top(term[i].values.to_numpy(), df[i].values.to_numpy().astype(np.int64), k)
                     out.append((np.full(len(found), id_), found, score))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["query_id", "doc_id", "micro"])
 
     dealt = held.unionByName(words).repartition("shard").sortWithinPartitions("shard", "kind")
-    found = dealt.select("shard", "kind", "id", "text", "term", "df").mapInArrow(run, "query_id long, doc_id long, micro long")
+    found = map_arrow(dealt.select("shard", "kind", "id", "text", "term", "df"), run, "query_id long, doc_id long, micro long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("micro").desc(), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", (F.col("micro") / UNIT).alias("score"))
 
