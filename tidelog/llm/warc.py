@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import shared_dir, staged
+from tidelog.llm.common import map_arrow, shared_dir, staged
 
 #: The format's line end, and the head of the archived HTTP answers.
 CRLF = "\r\n"
@@ -100,6 +100,8 @@ def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := f.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             headers[name.strip().lower()] = value.strip()
+        if "content-length" not in headers:
+            raise ValueError(f"record {headers.get('warc-record-id')} has no length")
         n = int(headers["content-length"])
         block = f.read(n)
         if len(block) != n:
@@ -107,36 +109,6 @@ def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """(origin, segment, type, refers_to, digest, total, block): a row per record, continuations by the record they continue.
-
-    What is no segmented record has segment 1 and its own length as total. An archive file is held by one task.
-    """
-
-    def run(batches):
-        for b in batches:
-            for content in b.column(0):
-                rows = []
-                for h, block in records(content.as_py()):
-                    number = int(h.get("warc-segment-number", 0))
-                    total = int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None if number else len(block)
-                    digest = h.get("warc-payload-digest")
-                    rows.append((h.get("warc-segment-origin-id", h.get("warc-record-id")), max(1, number), h.get("warc-type"), h.get("warc-refers-to"), digest and digest.removeprefix("sha1:"), total, block))
-                    if len(rows) == 512:
-                        yield batch(rows)
-                        rows = []
-                if rows:
-                    yield batch(rows)
-
-    fields = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("type", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("total", pa.int64()), ("block", pa.binary())])
-
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInArrow(run, "origin string, segment int, type string, refers_to string, digest string, total long, block binary")
-
-
 def unchunk(body: bytes) -> bytes:
     """The payload of a body in chunked transfer framing."""
     out, at = [], 0
@@ -160,57 +132,101 @@ def payload_of(block: bytes) -> bytes:
     return unchunk(body) if body and b"transfer-encoding: chunked" in head.lower() else body
 
 
+def finished(head: tuple, block: bytes, keep_payload: bool) -> tuple:
+    """(status, payload_bytes, payload_sha1, payload) of a record's whole block; head begins with its type."""
+    if head[0] == "revisit":
+        return "ok", None, None, None
+    try:
+        payload = payload_of(block)
+    except ValueError:
+        return "bad_chunks", None, None, None
+    return "ok", len(payload), hashlib.sha1(payload).hexdigest(), payload if keep_payload else None
+
+
+def batch_of(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+
+RECORD = [("record_id", pa.string()), ("type", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("status", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string()), ("payload", pa.binary())]
+SEGMENT = [*RECORD, ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())]
+RECORD_DDL = "record_id string, type string, refers_to string, digest string, status string, payload_bytes long, payload_sha1 string, payload binary"
+
+
+def read_segments(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
+    """A row per record, a continuation by the id of the record that it continues.
+
+    A record that isn't segmented is decoded here and has a status; one that is has its number, its block and, in the last
+    one, the total length, and a null status. An archive file is held by one task.
+    """
+
+    def run(batches):
+        for b in batches:
+            for content in b.column(0):
+                rows, size = [], 0
+                for h, block in records(content.as_py()):
+                    digest = h.get("warc-payload-digest")
+                    head = h.get("warc-type"), h.get("warc-refers-to"), digest and digest.removeprefix("sha1:")
+                    if "warc-segment-number" in h:
+                        total = h.get("warc-segment-total-length")
+                        rows.append((h.get("warc-segment-origin-id", h.get("warc-record-id")), *head, None, None, None, None, int(h["warc-segment-number"]), total and int(total), block))
+                    else:
+                        rows.append((h.get("warc-record-id"), *head, *finished(head, block, keep_payload), None, None, None))
+                    size += len(block)
+                    if len(rows) == 1000 or size > 1 << 24:
+                        yield batch_of(rows, SEGMENT)
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(rows, SEGMENT)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    return map_arrow(files, run, RECORD_DDL + ", segment int, total long, block binary")
+
+
 def reassemble(segments: DataFrame, keep_payload: bool = True) -> DataFrame:
     """(record_id, type, refers_to, digest, status, payload_bytes, payload_sha1[, payload]): a row per whole record.
 
-    Segments are dealt by origin and sorted by number, and a task holds those of one record at a time. Segments that come
-    several times with equal bytes are copies of one record, which comes as often as its first segment. status is ok,
-    missing_segment, length_mismatch (against the total length) or bad_chunks; the payload is null unless ok.
+    Segments are dealt by origin and sorted by number, and a task holds those of one record at a time; records that came
+    whole bring no block with them. Segments that come several times with equal bytes are copies of one record, which comes
+    as often as its first segment. status is ok, missing_segment, length_mismatch (against the total length) or
+    bad_chunks; the payload is null unless ok.
     """
-    names = ["record_id", "type", "refers_to", "digest", "status", "payload_bytes", "payload_sha1", "payload"]
-    kinds = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.binary()]
 
     def whole(parts):
         first, copies = parts[0], sum(p["segment"] == 1 for p in parts)
         by_number = {p["segment"]: p for p in parts}
         blocks = [by_number[k]["block"] for k in sorted(by_number)]
         total = max((p["total"] for p in parts if p["total"] is not None), default=None)
-        status, payload = "ok", None
+        head = first["type"], first["refers_to"], first["digest"]
         if sorted(by_number) != list(range(1, len(by_number) + 1)) or total is None:
-            status = "missing_segment"
+            end = "missing_segment", None, None, None
         elif sum(map(len, blocks)) != total:
-            status = "length_mismatch"
+            end = "length_mismatch", None, None, None
         else:
-            try:
-                payload = payload_of(b"".join(blocks))
-            except ValueError:
-                status = "bad_chunks"
-        row = [first["origin"], first["type"], first["refers_to"], first["digest"], status, None, None, None]
-        if payload is not None and first["type"] != "revisit":
-            row[5:] = [len(payload), hashlib.sha1(payload).hexdigest(), payload if keep_payload else None]
-        return [row] * max(1, copies)
+            end = finished(head, b"".join(blocks), keep_payload)
+        return [(first["record_id"], *head, *end)] * max(1, copies)
 
     def run(batches):
         held, out, size = [], [], 0
         for b in batches:
             for row in b.to_pylist():
-                if held and row["origin"] != held[0]["origin"]:
+                if held and row["record_id"] != held[0]["record_id"]:
                     out += whole(held)
-                    size += sum(len(p["block"]) for p in held)
                     held = []
-                    if len(out) >= 2000 or size > 1 << 25:
-                        yield batch(out)
-                        out, size = [], 0
-                held.append(row)
+                if row["status"] is None:
+                    held.append(row)
+                    size += len(row["block"])
+                else:
+                    out.append(tuple(row[n] for n, _ in RECORD))
+                    size += len(row["payload"] or b"")
+                if len(out) >= 5000 or out and size > 1 << 25:
+                    yield batch_of(out, RECORD)
+                    out, size = [], 0
         out += whole(held) if held else []
         if out:
-            yield batch(out)
-
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            yield batch_of(out, RECORD)
 
-    dealt = segments.repartition("origin").sortWithinPartitions("origin", "segment")
-    found = dealt.mapInArrow(run, "record_id string, type string, refers_to string, digest string, status string, payload_bytes long, payload_sha1 string, payload binary")
+    dealt = segments.repartition("record_id").sortWithinPartitions("record_id", "segment")
+    found = map_arrow(dealt, run, RECORD_DDL)
     return found if keep_payload else found.drop("payload")
 
 
@@ -224,7 +240,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = shared_dir(spark)
     write_archives(pages, path)
-    found = staged(reassemble(read_segments(spark, path), keep_payload=False))
+    found = staged(reassemble(read_segments(spark, path, keep_payload=False), keep_payload=False))
     page = lambda c: F.nullif(F.split_part(F.col(c), F.lit(":"), F.lit(3)), F.lit("null")).cast("long")
     said = found.where("type = 'response'").groupBy(F.col("record_id").alias("_origin")).agg(F.max("payload_bytes").alias("_bytes"), F.max("payload_sha1").alias("_sha1"))
     rows = found.where("type = 'response'").withColumn("_bytes", F.col("payload_bytes")).withColumn("_sha1", F.col("payload_sha1"))
