@@ -1,0 +1,23 @@
+import pytest
+
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture
+def docs(spark):
+    """A table of documents from texts: ids from 0 on, or (id, text)."""
+
+    def make(texts, lang=None):
+        rows = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
+        return spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t in rows], KIND)
+
+    return make
+
+
+@pytest.fixture
+def odd(docs, spark):
+    """Null and empty texts, null and repeated ids, repeated rows, a very long text, and columns that clash."""
+    from pyspark.sql import functions as F
+
+    some = [(5, None), (6, ""), (None, "a b c d e f"), (7, "one two three four five six"), (7, "one two three four five six"), (8, "one two three four five six"), (None, None), (9, "word " * 60_000 + "end"), (10, " \n\t "), (11, "é"), (12, "!?")]
+    return docs(some).withColumns({c: F.lit(1) for c in ("id", "term", "key", "node", "row", "shard", "bucket", "part", "place", "next", "a", "b", "score", "held_out", "_h")})

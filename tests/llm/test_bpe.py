@@ -1,0 +1,102 @@
+import hashlib
+import random
+
+import public_tokenizers
+import pytest
+import tiktoken
+
+from tidelog.llm import bpe
+
+RANKS = open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read()
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.Codec(RANKS, public_tokenizers.PATTERN)
+
+
+@pytest.fixture(scope="module")
+def library():
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+
+
+def test_every_token_is_its_own_encoding(codec):
+    for token, rank in codec.fst.ranks.items():
+        assert codec.fst.encode(token) == (rank,)
+
+
+def test_borders_by_the_definition(codec):
+    rnd = random.Random(1)
+    for _ in range(20_000):
+        a, b = rnd.randrange(3000), rnd.randrange(50_256 if rnd.random() < 0.3 else 3000)
+        assert codec.fst.fit(a, b) == (codec.fst.merged(codec.fst.bytes_of[a] + codec.fst.bytes_of[b]) == [a, b])
+
+
+def texts():
+    rnd = random.Random(2)
+    alphabet = list("aabcdeehiilnnoorssttu  \n\t'.!0123é漢😀ß ́")
+    yield from ("".join(rnd.choices(alphabet, k=rnd.randrange(80))) for _ in range(400))
+    yield from ("", " ", "   a", "a" * 3000, "ab" * 2000, "don't we'll I'D", "� x", "<|endoftext|>", "\r\n\r\n  x", "😀" * 300, "aé" * 500)
+
+
+def test_against_the_library(codec, library):
+    for t in texts():
+        assert [i for part in codec.encode(t) for i in part] == library.encode_ordinary(t), t
+
+
+def test_small_tables_change_nothing(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_STATES", 40)
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 30)
+    monkeypatch.setattr(bpe, "MAX_WORDS", 5)
+    small = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    for t in list(texts())[::4]:
+        assert [i for part in small.encode(t) for i in part] == library.encode_ordinary(t), t
+        assert len(small.words) <= 5 and len(small.fst.pairs) <= 30
+
+
+def test_long_texts_are_cut_where_nothing_spans(codec, library, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK", 10)
+    for t in texts():
+        parts = list(codec.encode(t))
+        assert [i for part in parts for i in part] == library.encode_ordinary(t)
+
+
+def test_utf8_in_any_pieces():
+    rnd = random.Random(3)
+    text = "aé漢😀ß" * 20
+    data = text.encode()
+    for _ in range(50):
+        stream, at, out = bpe.Utf8Stream(), 0, ""
+        while at < len(data):
+            n = rnd.randrange(1, 6)
+            out += stream.feed(data[at : at + n])
+            at += n
+        assert out + stream.close() == text
+    for bad in (b"\xff", b"a\xe2\x82", b"\x80\x80", b"\xf0\x9f\x98", b"\xc3a"):
+        stream = bpe.Utf8Stream()
+        assert "".join(stream.feed(bad[i : i + 1]) for i in range(len(bad))) + stream.close() == bad.decode("utf-8", "replace")
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def test_round_trip_of_odd_rows(odd, library):
+    got = sorted(map(tuple, bpe.round_trip(odd, RANKS, public_tokenizers.PATTERN).collect()), key=repr)
+    want = []
+    for row in odd.collect():
+        ids = library.encode_ordinary(row["text"] or "")
+        want.append((row["doc_id"], len(ids), sha(" ".join(map(str, ids))), sha(row["text"] or "")))
+    assert got == sorted(want, key=repr)
+    assert bpe.round_trip(odd.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_encode_and_decode(odd):
+    ids = bpe.encode(odd, RANKS, public_tokenizers.PATTERN)
+    back = bpe.decode(ids, RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in back), key=repr) == sorted(((r["doc_id"], r["text"] or "") for r in odd.collect()), key=repr)
+
+
+def test_ranks_that_are_no_bpe():
+    with pytest.raises(ValueError):
+        bpe.Transducer({b"a": 0, b"b": 1, b"abc": 2})

@@ -1,0 +1,72 @@
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tidelog.llm import quality
+from tidelog.llm.common import kth_largest
+
+
+def test_kth_largest(spark):
+    rnd = random.Random(1)
+    keys = [rnd.randrange(-(1 << 40), 1 << 40) for _ in range(300)] + [5] * 10 + [-(1 << 47), (1 << 47) - 1]
+    df = spark.createDataFrame([(k,) for k in keys], "key long")
+    for k in (1, 2, 150, 155, 312):
+        assert kth_largest(df, "key", k) == sorted(keys, reverse=True)[k - 1]
+    assert kth_largest(df, "key", 313) is None
+    assert kth_largest(df, "key", 0) is None
+
+
+def corpus(docs, n=300):
+    rnd = random.Random(2)
+    good, bad = [f"g{i}" for i in range(50)], [f"x{i}" for i in range(50)]
+    texts = [" ".join(rnd.choices(good if i % 5 else bad, k=40)) + ("" if i % 5 else " !!") for i in range(n)]
+    return docs(texts), [i % 5 != 0 for i in range(n)]
+
+
+def test_unlabelled_rows_are_told_apart(spark, docs):
+    table, good = corpus(docs)
+    labels = spark.createDataFrame([(i, int(g), 0) for i, g in enumerate(good) if i % 3 == 0], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in quality.classify(table, labels).collect()}
+    assert [rows[i]["selected"] for i in range(len(good))] == good
+    kept = quality.select(table, labels)
+    assert kept.columns == table.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, g in enumerate(good) if g]
+
+
+def test_exactly_k_by_gumbel_keys(spark, docs):
+    table, _ = corpus(docs)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = quality.classify(table, labels, k=100).collect()
+    chosen = {r["doc_id"] for r in rows if r["selected"]}
+    assert len(chosen) == 100
+    assert chosen == {r["doc_id"] for r in sorted(rows, key=lambda r: -r["gumbel_key"])[:100]}
+    assert quality.classify(table, labels, k=0).where("selected").count() == 0
+    assert quality.classify(table, labels, k=1000).where("NOT selected").count() == 0
+
+
+def test_draws_follow_the_weights(spark):
+    weighted = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.log(F.lit(4.0))).otherwise(0.0).alias("log_weight"))
+    drawn = quality.resample(weighted, k=500).where("selected")
+    assert abs(drawn.where("doc_id % 2 = 0").count() / drawn.count() - 0.8) < 0.06
+
+
+def test_weight_is_the_log_ratio(spark, docs):
+    target, raw = np.zeros(2048), np.zeros(2048)
+    for t in ("a b", "a a c"):
+        raw += np.bincount(quality.features(t), minlength=2048)
+    target += np.bincount(quality.features("a b"), minlength=2048)
+    ratio = quality.log_ratio(target, raw)
+    row = quality.weights(docs(["a b"]), ratio).first()
+    assert abs(row["log_weight"] - ratio[quality.features("a b")].sum()) < 1e-5
+    assert not quality.log_ratio(np.zeros(2048), raw).any()
+
+
+def test_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(7, 1, 0), (7, 0, 1), (None, 1, None), (99, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    rows = quality.classify(odd, labels).collect()
+    assert len(rows) == odd.count()
+    assert {r["log_weight"] for r in rows if r["doc_id"] in (5, 6, 10)} == {0.0}
+    assert len({(r["log_weight"], r["selected"]) for r in rows if r["doc_id"] == 7}) == 1
+    assert quality.classify(odd.limit(0), labels).count() == 0
+    assert quality.classify(odd, labels.limit(0)).where("selected").count() == odd.count()

@@ -1,0 +1,80 @@
+import gzip
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidelog.llm import warc
+from tidelog.llm.queries import ORACLE_SQL, QUERIES
+
+KIND = "page_id long, url string, html string"
+
+
+def expected(rows):
+    digests = [(i, hashlib.sha1((h or "").encode()).hexdigest(), len((h or "").encode())) for i, _, h in rows]
+    out = []
+    for i, d, n in digests:
+        last = max(j for j, e, _ in digests if e == d)
+        again = n >= 1000 and i < last
+        out.append((i, n, d, "revisit" if again else "response", last if again else None, "ok"))
+    return sorted(out, key=repr)
+
+
+def test_round_trip(spark):
+    big = "é<p>漢\r\n\r\nWARC/1.1\r\n" * 20_000
+    rows = [(1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (7, "u", "a" * 999), (8, "u", "a" * 999), (9, "u", "a" * 1000), (10, "u", "a" * 1000), (10, "u", "a" * 1000), (11, "u", "b" * 16_384), (12, "u", "0\r\n\r\n")]
+    got = warc.round_trip(spark.createDataFrame(rows, KIND).withColumns({c: F.lit(1) for c in ("digest", "payload", "type", "status", "segment", "n", "_id")}))
+    assert sorted(map(tuple, got.collect()), key=repr) == expected(rows)
+    assert warc.round_trip(spark.createDataFrame([], KIND)).count() == 0
+
+
+@pytest.mark.parametrize(("segment", "chunk"), [(50, 7), (64, 1000), (100_000, 1)])
+def test_segments_and_chunks_of_any_size(spark, tmp_path, segment, chunk):
+    rows = [(i, "u", "x漢" * i) for i in range(0, 60, 7)]
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(spark.createDataFrame(rows, KIND), path, segment, chunk, per_file=5)
+    got = warc.reassemble(warc.read_segments(spark, path)).collect()
+    assert sorted((r["status"], bytes(r["payload"]).decode()) for r in got) == sorted(("ok", h) for _, _, h in rows)
+    files = list((tmp_path / "warc").glob("*.gz"))
+    assert len(files) > 1
+    for f in files:
+        for headers, block in warc.records(gzip.decompress(f.read_bytes())):
+            assert int(headers["content-length"]) == len(block) <= segment
+
+
+def test_a_null_page_id(spark):
+    rows = [(None, "u", "a" * 1000), (3, "u", "a" * 1000), (None, "u", "short")]
+    got = sorted(map(tuple, warc.round_trip(spark.createDataFrame(rows, KIND)).collect()), key=repr)
+    assert [(r[0], r[3], r[4]) for r in got] == [(3, "response", None), (None, "revisit", 3), (None, "response", None)]
+
+
+def record(kind, id_, block, *more):
+    head = "".join(f"{k}: {v}\r\n" for k, v in (("WARC-Type", kind), ("WARC-Record-ID", id_), *more, ("Content-Length", len(block))))
+    return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_what_is_wrong_says_so(spark, tmp_path):
+    whole = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n"
+    parts = [whole[:20], whole[20:50], whole[50:]]
+
+    def segmented(id_, numbers, total):
+        for n in numbers:
+            more = [("WARC-Segment-Number", n)]
+            more += [("WARC-Segment-Origin-ID", id_)] if n > 1 else []
+            more += [("WARC-Segment-Total-Length", total)] if n == 3 else []
+            yield record("response" if n == 1 else "continuation", id_ if n == 1 else f"{id_}-{n}", parts[n - 1], *more)
+
+    one = [*segmented("good", (3, 1), len(whole)), *segmented("gap", (1, 3), len(whole)), *segmented("long", (1, 2, 3), len(whole) + 1), *segmented("open", (1, 2), 0)]
+    two = [*segmented("good", (2,), 0), record("response", "plain", b"HTTP/1.1 200 OK\r\n\r\nbody"), record("resource", "bare", b"any bytes"), record("response", "bad", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nabc\r\n0\r\n\r\n")]
+    (tmp_path / "1.warc").write_bytes(b"".join(one))
+    (tmp_path / "2.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in two))
+    got = {r["record_id"]: (r["status"], r["payload"] and bytes(r["payload"])) for r in warc.reassemble(warc.read_segments(spark, f"file://{tmp_path}")).collect()}
+    assert got == {"good": ("ok", b"abc"), "gap": ("missing_segment", None), "long": ("length_mismatch", None), "open": ("missing_segment", None), "plain": ("ok", b"body"), "bare": ("ok", b"any bytes"), "bad": ("bad_chunks", None)}
+    with pytest.raises(ValueError):
+        list(warc.records(one[0][:-30]))
+    with pytest.raises(ValueError):
+        list(warc.records(b"HTTP/1.1 200 OK\r\n"))
+
+
+def test_sql(against_sql):
+    against_sql(QUERIES["op6_warc_segments"], ORACLE_SQL["op6_warc_segments"])
