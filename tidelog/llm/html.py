@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import staged
+from tidelog.llm.common import map_arrow, staged
 
 # Fixed values of the format: elements without content, with raw text, that begin a block, that show no text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,7 +34,7 @@ BEGINS = re.compile(r"(?:advert|sponsor|comment|disqus|sidebar|navbar|navigation
 #: Open elements that a start tag closes: itself or its kin, up to the nearest of the bounds.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 BOUNDS = frozenset("html body article main section div table td th button object".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z|[\"'][^>]*+(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 DIGITS = re.compile(r"\d+")
@@ -203,7 +203,7 @@ def style_tree(pages: DataFrame, least_pages: int = 8, gamma: float = 0.9) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "path", "kind", "value", "kids"])
 
     kinds = [pa.string(), pa.int64(), pa.int8(), pa.int64(), pa.int32()]
-    told = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path long, kind byte, value long, kids int")
+    told = map_arrow(pages.select(host_of(F.col("url")).alias("host"), "html"), run, "host string, path long, kind byte, value long, kids int")
     by_value = told.groupBy(F.xxhash64("host").alias("h"), "path", "kind", "value").agg(F.count("*").alias("k"), F.max("kids").alias("kids"), F.first("host").alias("host"))
     style, content = F.col("kind") == 1, F.col("kind") == 2
     logs = F.col("k") * F.log("k")
@@ -245,4 +245,4 @@ def extract(pages: DataFrame, cut: float = 0.15, least_pages: int = 8, broadcast
             text = [main_text(h or "", frozenset(n or ())) for h, n in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "noise").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(rows.select("page_id", "url", "html", "noise"), run, "page_id long, url string, text string, n_chars long")

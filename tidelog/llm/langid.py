@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import with_id
+from tidelog.llm.common import map_arrow, with_id
 
 #: Buckets of trigrams; a model has this many floats per language, whatever the corpus holds.
 BUCKETS = 1 << 15
@@ -63,7 +63,7 @@ def fit(docs: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]
             found = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found.astype(np.int32)), pa.array(counts[found])], ["lang", "bucket", "n"])
 
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang").mapInArrow(run, "lang string, bucket int, n long")
+    rows = map_arrow(docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang"), run, "lang string, bucket int, n long")
     # At most BUCKETS rows per language come to the driver.
     sums = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sums["lang"].unique())
@@ -131,7 +131,7 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, id_col: str = "
                 ["id", "lang_pred", "score", "langs", "shares"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, with_id(docs, id_col, "lang_pred string, score double, langs array<string>, shares array<double>")).withColumnRenamed("id", id_col)
+    return map_arrow(docs.select(id_col, text_col), run, with_id(docs, id_col, "lang_pred string, score double, langs array<string>, shares array<double>")).withColumnRenamed("id", id_col)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import KEY_BITS, kth_largest, staged, with_id
+from tidelog.llm.common import KEY_BITS, kth_largest, map_arrow, staged, with_id
 
 #: Buckets of words and of word pairs, together the size of a model. Few, so that a small corpus fills them: a bucket that
 #: holds little but one document's words says that the document isn't labelled, not that it is bad.
@@ -24,7 +24,7 @@ WORDS, PAIRS = 1 << 10, 1 << 10
 MIX, MARGIN = 0.3, 0.04
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Words of which a worker remembers the hash.
-MEMO = 500_000
+MEMO = 100_000
 #: Characters of a text that are hashed at a time; a token or pair across the border counts as two.
 SPAN = 1 << 22
 
@@ -63,7 +63,7 @@ def counts(texts: DataFrame) -> np.ndarray:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["bucket", "n"])
 
-    rows = texts.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = map_arrow(texts.select("text"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros(WORDS + PAIRS)
     total[rows["bucket"].to_numpy(int)] = rows["n"]
     return total
@@ -90,7 +90,7 @@ def weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id") -> DataF
             w = [float(np.round(model.value[features(t)].sum(), 6)) if t else 0.0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w, pa.float64())], ["id", "log_weight"])
 
-    return docs.select(id_col, "text").mapInArrow(run, with_id(docs, id_col, "log_weight double")).withColumnRenamed("id", id_col)
+    return map_arrow(docs.select(id_col, "text"), run, with_id(docs, id_col, "log_weight double")).withColumnRenamed("id", id_col)
 
 
 def gumbel_key(doc_id: Column, seed: int) -> Column:
@@ -112,7 +112,7 @@ def resampling_cut(weighted: DataFrame, k: int | None, slack: float, seed: int)
     """
     if k is None:
         k = weighted.agg(F.sum(F.exp(F.least(F.lit(0.0), F.col("log_weight") + slack)))).first()[0]
-        k = int(np.ceil(k or 0))
+        k = int((k or 0) + 0.5)
     if k < 1:
         return (1 << KEY_BITS - 1) - 1
     return kth_largest(weighted.select(steps(gumbel_key(F.col("doc_id"), seed)).alias("key")), "key", k)
