@@ -18,7 +18,6 @@ RATES = (2, 4, 5, 6, 7, 8, 9, 10)
 SLOTS = 8 * len(RATES)
 #: Hex digits of a slot.
 DIGITS = 8
-EMPTY = "0" * DIGITS
 #: The lexicon is broadcast up to this many terms (16 bytes each); beyond, terms meet it in a shuffle.
 BROADCAST_TERMS = 1_000_000
 
@@ -45,44 +44,41 @@ def lexicon(docs: DataFrame, least: float = 0.001, most: float = 0.1) -> DataFra
     return band.select("term", mask.alias("mask"))
 
 
-def fingerprints(rows: DataFrame, texts: dict[str, str], lexicon: DataFrame, keys: list[str], size: int | None = None) -> DataFrame:
-    """keys and, for each name in texts, the fingerprint of that column of rows; keys tell rows apart.
+def slots(rows: DataFrame, texts: dict[str, str], lexicon: DataFrame, keys: list[str], size: int | None = None) -> DataFrame:
+    """keys and, for each name in texts, the slots of that column of rows, an array of numbers; keys tell rows apart.
 
-    What is dealt by a part of keys already isn't shuffled again. A text of no term in the band has all slots empty but
+    What is dealt by a part of keys already isn't shuffled again. A text of no term in the band has all slots empty (0) but
     the first, which is then the hash of all its terms; without any term all are empty.
     """
-    which = {name: i for i, name in enumerate(texts)}
-
-    def told(name):
-        return F.transform(terms(F.col(texts[name])), lambda t: F.struct(F.lit(which[name]).alias("which"), t.alias("term")))
-
-    both = F.concat(*[told(name) for name in texts])
     size = lexicon.count() if size is None else size
     side = F.broadcast(lexicon) if size <= BROADCAST_TERMS else lexicon
-    said = rows.select(*keys, F.explode_outer(both).alias("x")).select(*keys, "x.which", "x.term").join(side, "term", "left")
+    each = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(name).alias("which"), F.col(col).alias("text")) for name, col in texts.items()])).alias("x"))
+    said = each.select(*keys, "x.which", F.explode_outer(terms(F.col("x.text"))).alias("term")).join(side, "term", "left")
     zero = F.lit(0).cast("long")
-    slots = []
-    for name, i in which.items():
-        own = F.col("which") == i
-        for s in range(SLOTS):
-            slots.append(F.bit_xor(F.when(own & (F.shiftright("mask", s).bitwiseAND(F.lit(1).cast("long")) == 1), F.col("term")).otherwise(zero)).alias(f"{name}_{s}"))
-        slots.append(F.bit_xor(F.when(own, F.col("term")).otherwise(zero)).alias(f"{name}_all"))
-        slots.append(F.max(F.when(own & F.col("mask").isNotNull(), 1).otherwise(0)).alias(f"{name}_some"))
-    summed = said.groupBy(*keys).agg(*slots)
-
-    def text(name):
-        first = F.when(F.col(f"{name}_some") == 1, F.col(f"{name}_0")).otherwise(F.col(f"{name}_all"))
-        return F.concat(*[F.right(F.lpad(F.hex(c), 16, "0"), F.lit(DIGITS)) for c in (first, *[F.col(f"{name}_{s}") for s in range(1, SLOTS)])])
-
-    return summed.select(*keys, *[text(name).alias(name) for name in texts])
+    said = said.select(*keys, "which", F.coalesce("term", zero).alias("term"), F.coalesce("mask", zero).alias("mask"), F.col("mask").isNotNull().cast("int").alias("in_band"))
+    # A slot's bit, moved to the sign and back over all bits, lets a term pass or not without a branch; a sum holds two slots,
+    # one in each half.
+    low = F.lit((1 << 4 * DIGITS) - 1).cast("long")
+    passes = lambda s: F.shiftright(F.shiftleft("mask", 63 - s), 63)
+    said = said.withColumn("low", F.col("term").bitwiseAND(low)).withColumn("high", F.shiftleft("term", 32))
+    sums = [F.bit_xor(F.col("low").bitwiseAND(passes(s)).bitwiseOR(F.col("high").bitwiseAND(passes(s + SLOTS // 2)))).alias(f"sum_{s}") for s in range(SLOTS // 2)]
+    summed = said.groupBy(*keys, "which").agg(*sums, F.bit_xor("term").alias("all"), F.max("in_band").alias("some"))
+    first = F.when(F.col("some") == 1, F.col("sum_0")).otherwise(F.col("all")).bitwiseAND(low)
+    lows = [first, *[F.col(f"sum_{s}").bitwiseAND(low) for s in range(1, SLOTS // 2)]]
+    highs = [F.shiftrightunsigned(F.col(f"sum_{s}"), 32) for s in range(SLOTS // 2)]
+    held = summed.select(*keys, "which", F.array(*lows, *highs).alias("slots"))
+    return held.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == name, F.col("slots"))).alias(name) for name in texts])
+
+
+def printed(slots: Column) -> Column:
+    """A fingerprint as text, DIGITS hex digits for each slot."""
+    return F.array_join(F.transform(slots, lambda x: F.lower(F.lpad(F.hex(x), DIGITS, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of equal slots among those that either fingerprint fills; 1 if they are equal, 0 if nothing is common."""
-    at = F.sequence(F.lit(0), F.lit(SLOTS - 1))
-    slot = lambda c, i: F.substring(c, i * DIGITS + 1, F.lit(DIGITS))
-    filled = F.size(F.filter(at, lambda i: (slot(a, i) != EMPTY) | (slot(b, i) != EMPTY)))
-    equal = F.size(F.filter(at, lambda i: (slot(a, i) == slot(b, i)) & (slot(a, i) != EMPTY)))
+    """Of two arrays of slots, the share of equal ones among those that either fills; 1 if all are equal, 0 if none is."""
+    told = F.zip_with(a, b, lambda x, y: F.when((x == y) & (x != 0), 2).when((x != 0) | (y != 0), 1).otherwise(0))
+    equal, filled = F.size(F.filter(told, lambda c: c == 2)), F.size(F.filter(told, lambda c: c > 0))
     return F.when(a == b, 1.0).when(filled == 0, 0.0).otherwise(equal / filled)
 
 
@@ -122,7 +118,8 @@ def against_edited(docs: DataFrame, least: float = 0.001, most: float = 0.1) ->
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     keys = ["part", "place", "last", "doc_id", "n_chars", "edited_sha256"]
-    found = fingerprints(rows, {"fingerprint": "text", "edited_fingerprint": "edited"}, words, keys)
+    found = slots(rows, {"fingerprint": "text", "edited_fingerprint": "edited"}, words, keys)
     found = found.withColumn("_next", F.lead("fingerprint").over(Window.partitionBy("part").orderBy("place"))).where("NOT last")
     near = lambda other: likeness(F.col("fingerprint"), F.col(other)).cast("double")
-    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("_next").alias("near_next"))
+    text = [printed(F.col(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
+    return found.select("doc_id", "n_chars", "edited_sha256", *text, near("edited_fingerprint").alias("near_edited"), near("_next").alias("near_next"))
