@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import staged
 
-#: A slot's lexicon holds a term if these many bits of its random number are zero; eight slots for each.
+#: A slot's lexicon holds a term if these many bits of its random number are zero; sixteen slots for each.
 RATES = (2, 4, 5, 6, 7, 8, 9, 10)
-SLOTS = 8 * len(RATES)
-#: Hex digits of a slot.
-DIGITS = 8
-#: The lexicon is broadcast up to this many terms (16 bytes each); beyond, terms meet it in a shuffle.
+SLOTS = 16 * len(RATES)
+#: Hex digits of a slot, slots that a 64-bit number holds, and numbers that hold a bit for each slot.
+DIGITS = 4
+LANES = 16 // DIGITS
+MASKS = SLOTS // 64
+#: The lexicon is broadcast up to this many terms (24 bytes each); beyond, terms meet it in a shuffle.
 BROADCAST_TERMS = 1_000_000
 
 
@@ -29,19 +31,22 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, least: float = 0.001, most: float = 0.1) -> DataFrame:
-    """(term, mask) of the terms in least to most of all documents, and in two at least; mask has a bit for each slot.
+    """(term, mask_0, mask_1) of the terms in least to most of all documents, and in two at least; a bit for each slot.
 
     A document of t terms adds t to the sum of document frequencies, so there are at most mean(t) / least such terms.
     """
     n = docs.count()
     df = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     band = df.where((F.col("df") >= max(2.0, least * n)) & (F.col("df") <= max(2.0, most * n)))
-    mask = F.lit(0).cast("long")
-    for i, bits in enumerate(RATES):
-        for j in range(8):
-            chosen = F.xxhash64(F.lit(i * 8 + j), "term").bitwiseAND((1 << bits) - 1) == 0
-            mask = mask.bitwiseOR(F.when(chosen, F.shiftleft(F.lit(1).cast("long"), i * 8 + j)).otherwise(F.lit(0).cast("long")))
-    return band.select("term", mask.alias("mask"))
+    masks = []
+    for m in range(MASKS):
+        mask = F.lit(0).cast("long")
+        for i in range(64):
+            slot = m * 64 + i
+            chosen = F.xxhash64(F.lit(slot), "term").bitwiseAND((1 << RATES[slot * len(RATES) // SLOTS]) - 1) == 0
+            mask = mask.bitwiseOR(F.when(chosen, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        masks.append(mask.alias(f"mask_{m}"))
+    return band.select("term", *masks)
 
 
 def slots(rows: DataFrame, texts: dict[str, str], lexicon: DataFrame, keys: list[str], size: int | None = None) -> DataFrame:
@@ -55,18 +60,23 @@ def slots(rows: DataFrame, texts: dict[str, str], lexicon: DataFrame, keys: list
     each = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(name).alias("which"), F.col(col).alias("text")) for name, col in texts.items()])).alias("x"))
     said = each.select(*keys, "x.which", F.explode_outer(terms(F.col("x.text"))).alias("term")).join(side, "term", "left")
     zero = F.lit(0).cast("long")
-    said = said.select(*keys, "which", F.coalesce("term", zero).alias("term"), F.coalesce("mask", zero).alias("mask"), F.col("mask").isNotNull().cast("int").alias("in_band"))
-    # A slot's bit, moved to the sign and back over all bits, lets a term pass or not without a branch; a sum holds two slots,
-    # one in each half.
+    masks = [F.coalesce(f"mask_{m}", zero).alias(f"mask_{m}") for m in range(MASKS)]
+    said = said.select(*keys, "which", F.coalesce("term", zero).alias("term"), *masks, F.col("mask_0").isNotNull().cast("int").alias("in_band"))
+    # A slot's bit, moved to the sign and back over all bits, lets a term pass or not without a branch; a sum holds LANES
+    # slots side by side.
     low = F.lit((1 << 4 * DIGITS) - 1).cast("long")
-    passes = lambda s: F.shiftright(F.shiftleft("mask", 63 - s), 63)
-    said = said.withColumn("low", F.col("term").bitwiseAND(low)).withColumn("high", F.shiftleft("term", 32))
-    sums = [F.bit_xor(F.col("low").bitwiseAND(passes(s)).bitwiseOR(F.col("high").bitwiseAND(passes(s + SLOTS // 2)))).alias(f"sum_{s}") for s in range(SLOTS // 2)]
+    passes = lambda s: F.shiftright(F.shiftleft(f"mask_{s // 64}", 63 - s % 64), 63)
+    said = said.withColumns({f"lane_{i}": F.shiftleft(F.col("term").bitwiseAND(low), 4 * DIGITS * i) for i in range(LANES)})
+    sums = []
+    for n in range(SLOTS // LANES):
+        held = F.col("lane_0").bitwiseAND(passes(n * LANES))
+        for i in range(1, LANES):
+            held = held.bitwiseOR(F.col(f"lane_{i}").bitwiseAND(passes(n * LANES + i)))
+        sums.append(F.bit_xor(held).alias(f"sum_{n}"))
     summed = said.groupBy(*keys, "which").agg(*sums, F.bit_xor("term").alias("all"), F.max("in_band").alias("some"))
-    first = F.when(F.col("some") == 1, F.col("sum_0")).otherwise(F.col("all")).bitwiseAND(low)
-    lows = [first, *[F.col(f"sum_{s}").bitwiseAND(low) for s in range(1, SLOTS // 2)]]
-    highs = [F.shiftrightunsigned(F.col(f"sum_{s}"), 32) for s in range(SLOTS // 2)]
-    held = summed.select(*keys, "which", F.array(*lows, *highs).alias("slots"))
+    each = [F.shiftrightunsigned(F.col(f"sum_{s // LANES}"), 4 * DIGITS * (s % LANES)).bitwiseAND(low) for s in range(SLOTS)]
+    each[0] = F.when(F.col("some") == 1, each[0]).otherwise(F.col("all").bitwiseAND(low))
+    held = summed.select(*keys, "which", F.array(*each).alias("slots"))
     return held.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == name, F.col("slots"))).alias(name) for name in texts])
 
 
