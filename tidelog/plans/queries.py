@@ -45,6 +45,8 @@ state_query("kv_snapshot_scan", lambda log: resolve(log, SNAPSHOT), f"lsn <= {SN
 state_query("kv_snapshot_get", lambda log: kv.get(log, LOW, SNAPSHOT).select("key", "val"), f"lsn <= {SNAPSHOT} AND key = {LOW}")
 state_query("kv_range_reverse_topk", lambda log: kv.range_scan(log, reverse=True, limit=10).select("key", "val"), then="SELECT key, val FROM state ORDER BY key DESC LIMIT 10")
 state_query("kv_last", lambda log: kv.last(log), then="SELECT key, val FROM state ORDER BY key DESC LIMIT 1")
+state_query("kv_count", lambda log: resolve(log).agg(F.count("*").alias("n")), then="SELECT count(*) AS n FROM state")
+state_query("kv_range_snapshot", lambda log: kv.range_scan(log, included(LOW), UNBOUNDED, SNAPSHOT).select("key", "val"), f"lsn <= {SNAPSHOT} AND key >= {LOW}")
 for _name, _low, _high, _where in (
     ("ii", included(LOW), included(HIGH), f"key >= {LOW} AND key <= {HIGH}"),
     ("ie", included(LOW), excluded(HIGH), f"key >= {LOW} AND key < {HIGH}"),
@@ -135,6 +137,12 @@ def wal_record_size(spark, sf_dir):
     return wal.record_sizes(rows, F.col("props")).drop("props")
 
 
+@query(f"SELECT event_id // {SEGMENT} AS seg, min(event_id) + 1 AS start, max(event_id) + 1 AS last, CAST(sum(10 + strlen(props)) AS BIGINT) AS bytes FROM events GROUP BY 1")
+def wal_segments(spark, sf_dir):
+    """The segments with their first and last LSN and their framed size."""
+    return wal_record_size(spark, sf_dir).groupBy("seg").agg(F.min("lsn").alias("start"), F.max("lsn").alias("last"), F.sum("record_bytes").alias("bytes"))
+
+
 @query()
 def wal_crc(spark, sf_dir):
     """DuckDB has no CRC-32; the known values are in the tests."""
