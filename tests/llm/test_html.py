@@ -26,6 +26,9 @@ CASES = [
     ("<article><h2>Ads and menus</h2><p>Comments on adverts</p><p class='address'>road</p><p class='leads'>l</p></article>", "Ads and menus\nComments on adverts\nroad\nl"),
     ("<ARTICLE><P>Up</P></ARTICLE>", "Up"),
     ("<article><p>a < b and c > d</p></article>", "a < b and c > d"),
+    ("<main><article><p>the article</p></article><section><p>more</p></section></main>", "the article"),
+    ("<main><h1>T</h1><p>a long text of its own</p><article>teaser</article></main>", "T\na long text of its own\nteaser"),
+    ("<article><div class='ADS'>a</div><div class='navBar'>b</div><div id='SiteNotice'>c</div><div class='adslot-2'>d</div>x</article>", "x"),
     ("<script>only", ""),
     ("<nav><p>only</p></nav>", ""),
     ("<title>t</title><p>x", "x"),

@@ -29,14 +29,14 @@ HIDDEN = frozenset("head script style title noscript template textarea iframe no
 ASIDE = frozenset("nav footer aside form menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words in a class or id that say the same, and beginnings of such words.
-SAYS = frozenset("ad ads adv advert promo promotion menu nav breadcrumb breadcrumbs banner notice alert popup modal overlay cookie cookies consent gdpr toolbar pagination pager widget related recommended subscribe signup login search form copyright disclaimer masthead respond reply replies skip topbar".split())
-BEGINS = re.compile(r"(?:advert|sponsor|comment|disqus|sidebar|navbar|navigation|footer|newsletter|social|sharing|cookie|breadcrumb)|share(?:d|s)?$|header$|aside$")
+SAYS = frozenset("ad ads adv advert promo promos promotion menu menus nav breadcrumb breadcrumbs banner banners notice notices alert alerts paywall popup modal overlay cookie cookies consent gdpr toolbar pagination pager widget widgets related recommended subscribe signup login search form copyright disclaimer masthead respond reply replies skip topbar".split())
+BEGINS = re.compile(r"(?:advert|adsby|adbanner|adbox|adslot|adunit|sponsor|comment|disqus|sidebar|navbar|navigation|footer|newsletter|social|sharing|cookie|breadcrumb)|share(?:d|s)?$|header$|aside$")
 #: Open elements that a start tag closes: itself or its kin, up to the nearest of the bounds.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 BOUNDS = frozenset("html body article main section div table td th button object".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z|[\"'][^>]*+(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 DIGITS = re.compile(r"\d+")
 
 
@@ -152,10 +152,15 @@ def chain(node: Node):
 
 
 def visible(blocks: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
-    """Blocks that nothing in their presentation rules out; if the page marks its article, those inside it."""
+    """Blocks that nothing in their presentation rules out; if the page marks its article, those inside it.
+
+    Inside a main element articles are the article only if they hold half of its text or more: they may be teasers.
+    """
     kept = [(node, block) for node, block in blocks if node.shown and not any(x.cut for x in chain(node))]
     inside = [x for x in kept if x[0].inside]
-    return inside or kept
+    articles = [x for x in inside if x[0].inside.name == "article"]
+    length = lambda some: sum(len(block) for _, block in some)
+    return (articles if articles and 2 * length(articles) >= length(inside) else inside) or kept
 
 
 def main_text(html: str, noise: set[int] = frozenset()) -> str:
