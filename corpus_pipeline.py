@@ -13,7 +13,7 @@ from tidelog.llm import dedup, langid, packing, quality
 from tidelog.llm.common import shared_dir, table
 
 #: A document is of a language if one has this share of it at least.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.4
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 

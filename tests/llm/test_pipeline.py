@@ -19,7 +19,7 @@ def test_stages_against_their_operators(spark, sf_dir):
 
     known = stages["language"](spark, good, sf_dir)
     model = langid.fit(good.where(~langid.held_out()))
-    sure = {r["doc_id"] for r in langid.predict(good, *model).collect() if r["lang_pred"] != "und" and r["score"] >= 0.5}
+    sure = {r["doc_id"] for r in langid.predict(good, *model).collect() if r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.LEAST_SHARE}
     assert rows(known) == rows(good.where(good["doc_id"].isin(list(sure))))
 
     single = stages["near_duplicates"](spark, known, sf_dir)
