@@ -1,9 +1,10 @@
 """Near duplicates by HyperMinHash: bands of compressed registers propose links, full shingle sets confirm them.
 
 A sketch deals a document's shingle hashes into BANDS * ROWS buckets and keeps, of each bucket's least hash, the count of
-leading zeros and MANTISSA bits after the first one. Documents meet if a band of ROWS registers is equal. With 64 bands of
-5, two large sets of Jaccard similarity 0.75 meet in none with probability (1 - 0.75**5)**64 = 3e-8. Sets of fewer
-elements than bands or so can't miss: each differing element spoils one band, and at most a quarter differ.
+leading zeros and MANTISSA bits after the first one. For the bands an empty bucket takes the register of the first filled
+one in a random order of its own, so a band rests on ROWS random elements however small the set is, and one element that
+many documents have brings no two together. Documents meet if a band of ROWS registers is equal: with 64 bands of 5, sets
+of Jaccard similarity 0.75 meet in none with probability (1 - 0.75**5)**64 = 3e-8.
 
 Groups aren't expanded into pairs. Members of a bucket are first compared with one of its members, and what that has
 linked counts as one component from then on; at last all pairs of a bucket that are still in different components are
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import staged
+from tidelog.llm.common import map_arrow, staged
 
 SHINGLE, BANDS, ROWS, MANTISSA = 5, 64, 5, 10
 BUCKETS, NONE = BANDS * ROWS, np.uint16(0xFFFF)
@@ -26,12 +27,18 @@ BUCKETS, NONE = BANDS * ROWS, np.uint16(0xFFFF)
 SHARE = (75, 100)
 #: Ids are broadcast up to this many (8 bytes each); beyond, they are joined in a shuffle.
 BROADCAST_IDS = 500_000
+#: Members of a key's largest component that meet its other members in one task.
+PAIR_BLOCK = 4096
+#: Sets of up to so many shingles are compared by the last 16 bits of their hashes before they are compared in full.
+BRIEF = 2048
 #: Words of which a worker remembers the hash.
-MEMO = 500_000
+MEMO = 100_000
 
 _rng = np.random.default_rng(5)
 PLACE = _rng.integers(1, 1 << 63, 2 * SHINGLE, dtype=np.uint64) | np.uint64(1)
 BAND = _rng.integers(1, 1 << 63, (BANDS, ROWS + 1), dtype=np.uint64) | np.uint64(1)
+#: Where an empty bucket looks: the buckets in an order of its own, itself first; most look no further than PROBES.
+ORDER, PROBES = np.argsort(_rng.random((BUCKETS, BUCKETS)) + 1 - np.eye(BUCKETS) * 2, axis=1).astype(np.int16), 16
 
 
 class Hashes(dict):
@@ -85,11 +92,21 @@ def registers(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def filled(sketch: np.ndarray) -> np.ndarray:
+    """The sketch with a register in every bucket; one bucket at least must have one."""
+    full = sketch != NONE
+    first = full[ORDER[:, :PROBES]]
+    step = first.argmax(1)
+    far = np.flatnonzero(~first[np.arange(BUCKETS), step])
+    if len(far):
+        step[far] = full[ORDER[far]].argmax(1)
+    return sketch[ORDER[np.arange(BUCKETS), step]]
+
+
 def band_keys(sketch: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band that isn't empty."""
-    rows = sketch.reshape(BANDS, ROWS)
-    keys = mixed((rows.astype(np.uint64) * BAND[:, :ROWS]).sum(1, dtype=np.uint64) + BAND[:, ROWS])
-    return keys[(rows != NONE).any(1)].view(np.int64)
+    """A 64-bit key for each band."""
+    rows = filled(sketch).reshape(BANDS, ROWS).astype(np.uint64)
+    return mixed((rows * BAND[:, :ROWS]).sum(1, dtype=np.uint64) + BAND[:, ROWS]).view(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +117,17 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip((same / np.maximum(used, 1) - chance) / (1 - chance), 0, 1), used
 
 
+def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pairs of sketches are within six standard errors of a link."""
+    j, used = estimate(a, b)
+    share = SHARE[0] / SHARE[1]
+    return j >= share - 6 * np.sqrt(share * (1 - share) / np.maximum(used, 1))
+
+
+def stacked(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint16).reshape(-1, BUCKETS)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, w1, w2, sketch) of each document with an id; w1 and w2 are the hash of the words."""
 
@@ -114,7 +142,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 regs.append(registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(w1, pa.int64()), pa.array(w2, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "w1", "w2", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, w1 long, w2 long, sketch binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, w1 long, w2 long, sketch binary")
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -127,7 +155,7 @@ def banded(classes: DataFrame) -> DataFrame:
                 nodes = np.repeat(b.column(0)[at : at + 2000].to_numpy(zero_copy_only=False), [len(k) for k in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(keys))], ["node", "key"])
 
-    return classes.select("node", "sketch").mapInArrow(run, "node long, key long")
+    return map_arrow(classes.select("node", "sketch"), run, "node long, key long")
 
 
 def only(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
@@ -136,15 +164,82 @@ def only(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, col, "left_semi")
 
 
+def brief(s: np.ndarray) -> bytes:
+    """What stands for a set where many are compared: 16-bit hashes, or the sketch if it is too large for them."""
+    return (np.unique(s.astype(np.uint16)) if len(s) <= BRIEF else registers(s)).tobytes()
+
+
+def candidates(i: int, others: np.ndarray, sizes: np.ndarray, briefs: list[np.ndarray]) -> np.ndarray:
+    """Those of others that may be linked with i.
+
+    For 16-bit hashes no link is lost: the intersection has at most as many elements more than the hashes have in common as
+    the smaller loss of a set to equal hashes. A small set and a large one aren't ruled out but by their sizes.
+    """
+    n, m = sizes[i], sizes[others]
+    others = others[SHARE[1] * np.minimum(n, m) >= SHARE[0] * np.maximum(n, m)]
+    alike = (sizes[others] <= BRIEF) == (n <= BRIEF)
+    near, rest = others[alike], others[~alike]
+    if len(near) and n > BRIEF:
+        near = near[may_link(np.stack([briefs[j] for j in near]), briefs[i][None])]
+    elif len(near):
+        held = np.zeros(1 << 16, bool)
+        held[briefs[i]] = True
+        counts = np.array([len(briefs[j]) for j in near])
+        common = np.add.reduceat(held[np.concatenate([briefs[j] for j in near])], np.append(0, np.cumsum(counts)[:-1]), dtype=np.int64)
+        most = common + np.minimum(n - len(briefs[i]), sizes[near] - counts)
+        near = near[SHARE[1] * most >= SHARE[0] * (n + sizes[near] - most)]
+    return np.concatenate([near, rest])
+
+
+def across(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of the nodes that share a key of placed (key, node, component), are in different components and may be linked.
+
+    A key's largest component is dealt into blocks, each of which gets the key's other members too: pairs are made and
+    ruled out where they meet, and a block is what a task holds.
+    """
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", "n").alias("main"), F.sum("n").alias("n"))
+    rows = placed.join(largest, "key").withColumn("main", F.col("component") == F.col("main")).withColumn("blocks", F.ceil(F.col("n") / PAIR_BLOCK))
+    spread = F.when(F.col("main"), F.array(F.pmod(F.xxhash64("node"), "blocks"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    rows = rows.withColumn("block", F.explode(spread)).select("key", "block", "main", "node", "component").join(sets.select("node", "n", "brief"), "node")
+
+    def pairs(group):
+        _, block, main, node, component, n, short = zip(*group, strict=True)
+        main, node, component, n = np.array(main), np.array(node, np.int64), np.array(component, np.int64), np.array(n, np.int64)
+        short, found = [np.frombuffer(x, np.uint16) for x in short], []
+        for i in np.flatnonzero(~main):
+            other = main if block[0] else main | (np.arange(len(node)) > i)
+            other = candidates(i, np.flatnonzero(other & (component != component[i])), n, short)
+            found.append(np.stack([np.minimum(node[i], node[other]), np.maximum(node[i], node[other])]))
+        return np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+
+    def run(batches):
+        held, at = [], None
+        for b in batches:
+            out = []
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if row[:2] != at:
+                    if held:
+                        out.append(pairs(held))
+                    held, at = [], row[:2]
+                held.append(row)
+            if out:
+                a, c = np.concatenate(out, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
+        if held:
+            a, c = pairs(held)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
+
+    dealt = rows.select("key", "block", "main", "node", "component", "n", "brief").repartition("key", "block").sortWithinPartitions("key", "block")
+    return map_arrow(dealt, run, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, regs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of those pairs that are links: the estimate rules out what it can, then the full sets are intersected."""
 
     def likely(batches):
         for b in batches:
-            x, y = (np.stack([np.frombuffer(v, np.uint16) for v in b.column(i).to_pylist()]) if b.num_rows else np.zeros((0, BUCKETS), np.uint16) for i in (2, 3))
-            j, used = estimate(x, y)
-            share = SHARE[0] / SHARE[1]
-            keep = pa.array(j >= share - 6 * np.sqrt(share * (1 - share) / np.maximum(used, 1)))
+            keep = pa.array(may_link(stacked(b.column(2).to_pylist()), stacked(b.column(3).to_pylist())))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
     def linked(batches):
@@ -158,9 +253,9 @@ def confirmed(pairs: DataFrame, regs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     one = lambda t, side, col: t.select(F.col("node").alias(side), F.col(col).alias(f"{col}_{side}"))
-    some = pairs.join(one(regs, "a", "sketch"), "a").join(one(regs, "b", "sketch"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(likely, "a long, b long")
+    some = map_arrow(pairs.join(one(regs, "a", "sketch"), "a").join(one(regs, "b", "sketch"), "b").select("a", "b", "sketch_a", "sketch_b"), likely, "a long, b long")
     both = some.join(one(sets, "a", "set"), "a").join(one(sets, "b", "set"), "b").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(linked, "a long, b long")
+    return map_arrow(both, linked, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -205,22 +300,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def set_of(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t)[0].view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["node", "set"])
+            found = [shingles(t)[0] for t in b.column(1).to_pylist()]
+            columns = [b.column(0), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), pa.array(map(len, found), pa.int64()), pa.array(map(brief, found), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "set", "n", "brief"])
 
-    sets = staged(only(docs.select(F.col("doc_id").alias("node"), "text").where("text IS NOT NULL"), "node", active).mapInArrow(set_of, "node long, set array<long>"))
+    sets = staged(map_arrow(only(docs.select(F.col("doc_id").alias("node"), "text").where("text IS NOT NULL"), "node", active), set_of, "node long, set array<long>, n long, brief binary"))
     # First each node with the least of its buckets' members, then with the least that is in another component.
     links = staged(confirmed(shared.groupBy("node").agg(F.min("low").alias("low")).where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")), regs, sets))
     for last in (False, True):
         found = staged(components(links))
         placed = shared.select("node", "key").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed_ = placed.groupBy("key").agg(F.min(F.struct("component", "node")).alias("first"), F.max("component").alias("high")).where("first.component < high")
-        placed = placed.join(mixed_, "key")
         if last:
-            one, other = (placed.select("key", F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
-            pairs = one.join(other, "key").where("of_a < of_b")
+            unlike = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+            pairs = across(placed.join(unlike, "key"), sets)
         else:
-            pairs = placed.where("component > first.component").select(F.col("first.node").alias("a"), F.col("node").alias("b"))
-        more = confirmed(pairs.select("a", "b").distinct(), regs, sets)
+            first = placed.groupBy("key").agg(F.min(F.struct("component", "node")).alias("first"), F.max("component").alias("high")).where("first.component < high")
+            pairs = placed.join(first, "key").where("component > first.component").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+        more = confirmed(pairs, regs, sets)
         links = staged(links.unionByName(more))
     found = components(links)
     node = all_.select("doc_id", "n_shingles", "w1", "w2").join(classes.select("w1", "w2", "node"), ["w1", "w2"], "left")
