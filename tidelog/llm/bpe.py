@@ -20,8 +20,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Entries after which a worker forgets a table and begins it anew: memory stays bounded whatever the corpus holds.
-MAX_STATES, MAX_PAIRS, MAX_WORDS = 150_000, 1_000_000, 600_000
+from tidelog.llm.common import map_arrow, with_id
+
+#: Entries after which a worker forgets a part of a table: memory stays bounded whatever the corpus holds.
+MAX_STATES, MAX_PAIRS, MAX_WORDS = 400_000, 1_000_000, 400_000
+#: Tokens that may still complete a beginning, so few that what came before is told by which of them it rules out.
+FEW = 64
 #: Characters after which a text is cut at the next place where no match of the pattern can span.
 CHUNK = 1 << 20
 SAFE_CUT = regex.compile(r"(?<=\S) (?=\S)")
@@ -36,7 +40,8 @@ class State:
     __slots__ = ("before", "begun", "tail", "to")
 
     def __init__(self, before, begun):
-        #: The last token emitted; (trie place, uncertain tokens) of each beginning, the last at the trie's root.
+        #: What the first beginning follows: the last token emitted, or the tokens that can't follow it, which is all there
+        #: is to know about it; (trie place, uncertain tokens) of each beginning, the last at the trie's root.
         self.before, self.begun = before, begun
         self.tail = begun[-1][1]
         self.to: dict = {}
@@ -60,16 +65,31 @@ class Transducer:
                     self.token_at.append(None)
                 place = step
             self.token_at[place] = rank
+        #: The tokens that lie below a place of the trie, if they are few.
+        self.below: list[tuple[int, ...] | None] = [()] * len(self.trie)
+        for place in range(len(self.trie) - 1, -1, -1):
+            found: tuple[int, ...] | None = ()
+            for child in self.trie[place].values():
+                rest, own = self.below[child], self.token_at[child]
+                found = None if found is None or rest is None else (*found, *rest, *(() if own is None else (own,)))
+            self.below[place] = found if found is not None and len(found) <= FEW else None
         #: The two tokens whose merge made each token; a byte stands for itself.
         self.halves = {r: (r, r) if len(t) == 1 else self.split(t) for t, r in ranks.items()}
-        self.pairs: dict[tuple, bool] = {}
-        self.forget()
+        self.pairs: dict[int, bool] = {}
+        self.start = State((), ((0, ()),))
+        self.states: dict = {((), self.start.begun): self.start}
 
     def forget(self) -> None:
-        for state in getattr(self, "states", {}).values():
-            state.to.clear()  # states point at each other; without this they would wait for the cycle collector
-        self.start = State(None, ((0, ()),))
-        self.states: dict = {(None, self.start.begun): self.start}
+        """Drops the states that lead to one other at most: the ends of rare words, which are most of the states."""
+        kept = {k: s for k, s in self.states.items() if len(s.to) > 1}
+        if len(kept) * 2 > MAX_STATES:
+            kept = {}
+        rest = set(map(id, kept.values()))
+        for state in self.states.values():
+            # Dropped states are emptied: they point at each other and would wait for the cycle collector.
+            state.to = {b: x for b, x in state.to.items() if id(x[0]) in rest} if id(state) in rest else {}
+        self.states = kept
+        self.states[(), self.start.begun] = self.start
 
     def merged(self, data: bytes, below: int = 1 << 60) -> list[int]:
         """Encoding by the definition: the neighbouring pair of lowest rank merges first, the leftmost of equals."""
@@ -88,14 +108,12 @@ class Transducer:
                 return a, b
         raise ValueError("a token of the ranks isn't the merge of two others")
 
-    def fit(self, a: int | None, b: int) -> bool:
-        """Whether b may follow a (None: begin the pre-token).
+    def fit(self, a: int, b: int) -> bool:
+        """Whether b may follow a.
 
         The merges of both are undone from the last to the first; if what then meets at the border makes a token of
         lower rank than the merge just undone, that token would have been made first and the border would be gone.
         """
-        if a is None:
-            return True
         key = a << 32 | b
         known = self.pairs.get(key)
         if known is None:
@@ -120,23 +138,41 @@ class Transducer:
 
     def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         """The transition that isn't in the table yet."""
-        begun, sure, trie = [], None, self.trie
+        begun, sure, trie, token_at, pairs = [], None, self.trie, self.token_at, self.pairs
         for place, open_ in state.begun:
             place = trie[place].get(byte)
             if place is None:
                 continue
-            if sure is None and (token := self.token_at[place]) is not None and self.fit(open_[-1] if open_ else state.before, token):
-                sure = (*open_, token)
+            if sure is None and (token := token_at[place]) is not None:
+                if open_ or type(state.before) is int:
+                    last = open_[-1] if open_ else state.before
+                    fits = pairs.get(last << 32 | token)
+                    fits = self.fit(last, token) if fits is None else fits
+                else:
+                    fits = token not in state.before
+                if fits:
+                    sure = (*open_, token)
             if trie[place]:
                 begun.append((place, open_))
         if sure is None:
             raise ValueError("the ranks aren't those of a byte-level BPE")
         n = len(sure)
         for _, open_ in begun:
+            if not open_ or not n:
+                n = 0
+                break
             while open_[:n] != sure[:n]:
                 n -= 1
         begun.append((0, sure))
-        before, out, begun = (sure[n - 1], sure[:n], [(p, o[n:]) for p, o in begun]) if n else (state.before, (), begun)
+        before, out = state.before, sure[:n]
+        if n:
+            before, begun = sure[n - 1], [(p, o[n:]) for p, o in begun]
+        if before != ():
+            first = begun[0]
+            if first[1]:
+                before = ()
+            elif (below := self.below[first[0]]) is not None:
+                before = tuple([t for t in below if not self.fit(before, t)] if type(before) is int else [t for t in below if t in before])
         key = before, tuple(begun)
         to = self.states.get(key)
         if to is None:
@@ -190,13 +226,17 @@ class Codec:
         ranks = load_ranks(rank_file)
         self.fst, self.find = Transducer(ranks), regex.compile(pattern).findall
         self.token_bytes = [self.fst.bytes_of.get(i, b"") for i in range(max(ranks.values()) + 1)]
+        self.before: dict[str, tuple[int, ...]] = {}
         codec = self
 
         class Words(dict):
             def __missing__(self, word):
                 if len(self) >= MAX_WORDS:
+                    codec.before = self.copy()  # words that come again before as many others have come return from there
                     self.clear()
-                ids = codec.fst.encode(word.encode())
+                ids = codec.before.get(word)
+                if ids is None:
+                    ids = codec.fst.encode(word.encode())
                 if len(word) <= 64:
                     self[word] = ids
                 return ids
@@ -237,7 +277,6 @@ def codec(rank_file: bytes, pattern: str) -> Codec:
 
 def encode(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>): the tokens of each text. A null text is empty and has no tokens."""
-    kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(rank_file)
 
     def run(batches):
@@ -246,12 +285,11 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_i
             ids = [[i for part in c.encode(t or "") for i in part] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return map_arrow(docs.select(id_col, text_col), run, with_id(docs, id_col, "ids array<int>")).withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text): the text of each array of ids; bytes that are no UTF-8 become U+FFFD. A null array gives an empty text."""
-    kind = tokens.schema[id_col].dataType.simpleString()
     shared = tokens.sparkSession.sparkContext.broadcast(rank_file)
 
     def run(batches):
@@ -260,7 +298,7 @@ def decode(tokens: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc
             text = ["".join(c.decode(iter([i or []]))) for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], ["id", "text"])
 
-    return tokens.select(id_col, ids_col).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return map_arrow(tokens.select(id_col, ids_col), run, with_id(tokens, id_col, "text string")).withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
@@ -288,4 +326,4 @@ def round_trip(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
                 back.append(text_sha.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sent), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
