@@ -1,8 +1,14 @@
 import os
+import sys
+from pathlib import Path
 
-import duckdb
-import pytest
-from pyspark.sql import SparkSession
+ROOT = str(Path(__file__).resolve().parents[1])
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, os.environ.get("PYTHONPATH"))))  # for Spark's workers
+
+import duckdb  # noqa: E402
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
