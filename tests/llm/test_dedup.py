@@ -82,6 +82,7 @@ def test_odd_rows(docs, odd):
     assert kept.count() == odd.count() - 1
     assert dedup.near_duplicates(odd.limit(0)).count() == 0
     check(docs, [(1, "x y z"), (1, "other words here"), (2, "x y z"), (3, "OTHER words\there"), (4, "x y z q")])
+    check(docs, [(0, "x y z"), (5, "x y z"), (5, "other words here"), (5, None), (7, "other words here"), (8, "p q"), (7, "p q"), (9, "alone")])
 
 
 def test_without_broadcasts(docs, monkeypatch):

@@ -318,11 +318,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             pairs = placed.join(first, "key").where("component > first.component").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
         more = confirmed(pairs, regs, sets)
         links = staged(links.unionByName(more))
-    found = components(links)
     node = all_.select("doc_id", "n_shingles", "w1", "w2").join(classes.select("w1", "w2", "node"), ["w1", "w2"], "left")
-    # A document of several texts is a node of several classes, whose links all count.
-    node = node.withColumn("node", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("node"))))
-    reached = node.join(found, "node", "left")
+    node = staged(node.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("node"))).alias("node")))
+    # A document of several texts links the nodes of all of them; its rows are all where the least of them is.
+    least = node.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a IS NOT NULL")
+    several = node.join(least.where("a < high").select("doc_id", "a"), "doc_id").where("a < node").select("a", F.col("node").alias("b"))
+    found = components(links.unionByName(several))
+    reached = node.drop("node").join(least.select("doc_id", F.col("a").alias("node")), "doc_id", "left").join(found, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return reached.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
