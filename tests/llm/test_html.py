@@ -78,6 +78,24 @@ def test_copies_of_one_article_stay(spark):
     assert {r["text"] for r in html.extract(spark.createDataFrame([*copies, *near], KIND)).collect()} == {"One\nSame text"}
 
 
+def test_copies_of_a_page_count_once(spark):
+    def page(i, items):
+        mid = f"<h1>List {i}</h1><ul>{''.join(f'<li>item {i} {k}' for k in range(items))}</ul><p>Text of list {i}.</p>"
+        return f"<body><div class=top>Our site, est. 1990</div><div class=mid>{mid}</div><div class=end><p>Read more here</p></div></body>"
+
+    def text(i, items):
+        return "\n".join([f"List {i}", *(f"item {i} {k}" for k in range(items)), f"Text of list {i}."])
+
+    alone = [*site(10), *((100 + i, f"http://h.example/{i}", page(1, 2)) for i in range(20))]
+    with_another = [*site(10, "i.example"), (300, "http://i.example/", page(3, 1)), *((200 + i, f"http://i.example/{i}", page(2, 10)) for i in range(50))]
+    table = spark.createDataFrame([*alone, *with_another], KIND)
+    got = [(r["page_id"], r["text"]) for r in html.extract(table).collect()]
+    assert {t for i, t in got if 100 <= i < 120} == {text(1, 2)}
+    assert {t for i, t in got if 200 <= i < 250} == {text(2, 10)}
+    assert dict(got)[300] == text(3, 1) and (3, "Title 3\nText number 3 of many.") in got
+    assert {r["host"]: r["pages"] for r in html.style_tree(table).orderBy("pages").collect()} == {"h.example": 11, "i.example": 12}
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (1, None, None), (2, "no url", "<p>x"), (None, "http://h/", ""), (3, "http://h/", "<p>" + "long " * 100_000)]
     table = spark.createDataFrame(rows, KIND).withColumns({c: F.lit(1) for c in ("host", "noise", "text", "n", "salt", "path")})

@@ -183,55 +183,62 @@ def style_tree(pages: DataFrame, least_pages: int = 8, gamma: float = 0.9) -> Da
     """(host, path, pages, importance) of the nodes of each host's tree, from all pages.
 
     A page tells of each node how its children follow each other and what blocks it holds, its own and, for what stands
-    right under the body, its branches'. importance mixes the entropy of presentations, in units of the log of the pages
-    that have the node, with one less the mean entropy of contents, by gamma to the power of the number of children.
-    Hosts with fewer than least_pages different pages have no rows. Equal pages of a host count as often as they come.
+    right under the body, its branches'. importance mixes the entropy of presentations, in units of the log of the different
+    presentations of the node on each of its pages, with one less the mean entropy of contents, by gamma to the power of the number of children.
+    Hosts with fewer than least_pages different pages have no rows. Equal pages of a host count once, however often they
+    come, so that copies of a page don't make what it alone has a thing that pages repeat.
     """
 
     def run(batches):
         for b in batches:
             rows = []
-            for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for h, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 nodes, blocks = parse(html or "")
-                seen = {(0, 0, xxhash.xxh3_64_intdigest(html or "") >> 1, 0)}
+                page, met = xxhash.xxh3_64_intdigest(html or "") >> 1, set()
+                seen = {(0, 0, page, 0): 1}  # and whether it is the page's first row of the node and kind
                 for x in nodes:
                     if x.shown:
-                        seen.add((x.path, 1, hash(tuple(k for i, k in enumerate(x.kids) if not i or x.kids[i - 1] != k)), len(set(x.kids))))
+                        style = hash(tuple(k for i, k in enumerate(x.kids) if not i or x.kids[i - 1] != k))
+                        seen.setdefault((x.path, 1, style, len(set(x.kids))), int(x.path not in met))
+                        met.add(x.path)
                 for x, block in blocks:
                     if x.shown:
                         value = xxhash.xxh3_64_intdigest(block) >> 1
                         up = [y for y in chain(x) if y.parent]
                         for y in {x, *up[-3:-2]}:
-                            seen.add((y.path, 2, value, 0))
-                rows += [(host, *x) for x in seen]
+                            seen[y.path, 2, value, 0] = 0
+                rows += [(h, page, *x, first) for x, first in seen.items()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "path", "kind", "value", "kids"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["h", "page", "path", "kind", "value", "kids", "first"])
 
-    kinds = [pa.string(), pa.int64(), pa.int8(), pa.int64(), pa.int32()]
-    told = map_arrow(pages.select(host_of(F.col("url")).alias("host"), "html"), run, "host string, path long, kind byte, value long, kids int")
-    by_value = told.groupBy(F.xxhash64("host").alias("h"), "path", "kind", "value").agg(F.count("*").alias("k"), F.max("kids").alias("kids"), F.first("host").alias("host"))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int32(), pa.int8()]
+    host = host_of(F.col("url"))
+    told = map_arrow(pages.select(F.xxhash64(host).alias("h"), "html"), run, "h long, page long, path long, kind byte, value long, kids int, first byte")
+    once = told.groupBy("h", "path", "kind", "value", "page").agg(F.max("kids").alias("kids"), F.max("first").alias("first"))
+    by_value = once.groupBy("h", "path", "kind", "value").agg(F.count("*").alias("k"), F.max("kids").alias("kids"), F.sum("first").alias("first"))
     style, content = F.col("kind") == 1, F.col("kind") == 2
     logs = F.col("k") * F.log("k")
     by_node = by_value.groupBy("h", "path").agg(
-        F.first("host").alias("host"),
-        F.sum(F.when(style, F.col("k"))).alias("pages"),
+        F.sum(F.when(style, F.col("first"))).alias("pages"),
+        F.sum(F.when(style, F.col("k"))).alias("styles"),
         F.sum(F.when(style, logs)).alias("style_logs"),
         F.avg(F.when(style, F.col("kids"))).alias("kids"),
         F.avg(F.when(content, F.log("k"))).alias("content_logs"),
         F.count(F.when(F.col("kind") == 0, 1)).alias("different"),
     )
     enough = by_node.where(F.col("path") == 0).where(F.col("different") >= least_pages).select("h")
-    unit = F.log("pages")
-    by_style = unit - F.col("style_logs") / F.col("pages")
+    hosts = pages.select(host.alias("host")).distinct().select("host", F.xxhash64("host").alias("h")).join(enough, "h", "left_semi")
+    unit = F.log("styles")
+    by_style = unit - F.col("style_logs") / F.col("styles")
     mix = F.pow(F.lit(gamma), F.col("kids"))
     importance = ((1 - mix) * by_style + mix * (unit - F.least(unit, F.col("content_logs")))) / unit
-    return by_node.where("path != 0 AND pages > 1 AND content_logs IS NOT NULL").join(enough, "h", "left_semi").select("host", "path", "pages", importance.alias("importance"))
+    return by_node.where("path != 0 AND pages > 1 AND content_logs IS NOT NULL").join(hosts, "h").select("host", "path", "pages", importance.alias("importance"))
 
 
 def extract(pages: DataFrame, cut: float = 0.15, least_pages: int = 8, broadcast_rows: int = 100_000, salts: int = 32) -> DataFrame:
     """(page_id, url, text, n_chars) of each page: its main text, empty if it has none.
 
-    Nodes of importance under cut, on at least least_pages pages of their host, are noise. A null html is empty, a null
+    Nodes of importance under cut, on at least least_pages different pages of their host, are noise. A null html is empty, a null
     url is a host of its own; repeated rows give equal rows; other columns are ignored. The list of noise is broadcast if
     it has at most broadcast_rows rows; beyond that pages meet it by host and salt, so that a large host is many tasks.
     """
