@@ -41,6 +41,26 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+SLUGS = ["ad-hoc-networks", "related-work", "search-algorithms", "social-history", "Comments_on_the_text", "menu", "copyright-law", "notice"]
+NAMES = [
+    *((f"<article><p>x</p><h2 id='{s}'>T</h2><p id='{s}'>y</p></article>", "x\nT\ny") for s in SLUGS),
+    *((f"<main><section id='{s}'><h2>T</h2><p>y</p></section></main>", "T\ny") for s in SLUGS),
+    *((f"<main><div class='section' id='{s}'><h2>{re.sub('[-_]', ' ', s).title()}</h2><p>y</p></div></main>", f"{re.sub('[-_]', ' ', s).title()}\ny") for s in SLUGS),
+    ("<article><h2 class='notice related'>T</h2><table class='search-results' id='menu'><tr><td>y</table><blockquote class='social'>z</blockquote></article>", "T\ny\nz"),
+    ("<body><h2 id='related-work'>T</h2><p>y</p></body>", "T\ny"),
+    ("<article id='commentary-on-rome'><p>x</p></article>", "x"),
+    ("<article><p>x</p><div id='social-share'><h3>Tell others</h3></div><section class='related'>r</section><ul class='menu'><li>m</ul></article>", "x"),
+    ("<article><p>x</p><p class='advertisement'>a</p><h2 id='search' hidden>h</h2><div id='ad-slot'>b</div></article>", "x"),
+    ("<main><p>x</p><article id='comment-12'>c</article></main>", "x"),
+    ("<article><div class='entry-header' id='header'><h1>T</h1></div><p>x</p></article>", "T\nx"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), NAMES)
+def test_names_in_an_article(page, text):
+    assert html.main_text(page) == text
+
+
 def test_deep_and_long_pages_end():
     assert html.main_text("<div>" * 3000 + "x" + "</div>" * 3000) == "x"
     assert len(html.main_text("<p>word</p>" * 50_000)) == 50_000 * 5 - 1

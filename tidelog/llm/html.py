@@ -31,6 +31,13 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 #: Words in a class or id that say the same, and beginnings of such words.
 SAYS = frozenset("ad ads adv advert promo promos promotion menu menus nav breadcrumb breadcrumbs banner banners notice notices alert alerts paywall popup modal overlay cookie cookies consent gdpr toolbar pagination pager widget widgets related recommended subscribe signup login search form copyright disclaimer masthead respond reply replies skip topbar".split())
 BEGINS = re.compile(r"(?:advert|adsby|adbanner|adbox|adslot|adunit|sponsor|comment|disqus|sidebar|navbar|navigation|footer|newsletter|social|sharing|cookie|breadcrumb)|share(?:d|s)?$|header$|aside$")
+#: Inside an article a name tells only of elements that hold others; of the rest only by words that an article has no use
+#: for, in a class. Headings are never cut by their names, and an id that is made from a heading's text says nothing.
+HOLDERS = frozenset("article main aside div ol section ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+CLEAR = re.compile(r"(?:ads|adv|paywall|popup|gdpr|pagination|pager|signup|masthead|topbar)$|advert|adsby|adbanner|adbox|adslot|adunit|sponsor|disqus|navbar|newsletter|breadcrumb")
+COMMENT = re.compile(r"comments?(?:[-_]?\d+)?", re.I)
+LETTERS = re.compile(r"[\W\d_]+")
 #: Open elements that a start tag closes: itself or its kin, up to the nearest of the bounds.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 BOUNDS = frozenset("html body article main section div table td th button object".split())
@@ -41,7 +48,7 @@ DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("cut", "inside", "kids", "name", "parent", "path", "shown")
+    __slots__ = ("cut", "id", "inside", "kids", "name", "parent", "path", "shown")
 
     def __init__(self, name, parent, label, cut, shown):
         self.name, self.parent, self.cut, self.shown, self.kids = name, parent, cut, shown, []
@@ -53,28 +60,42 @@ class Node:
             parent.kids.append(self.path)
 
 
-def looks(name: str, text: str, in_article: bool) -> tuple[str, bool]:
-    """What a start tag's attributes say: the label of its node, and whether it can't be part of the article."""
+def says(text: str, in_article: bool) -> bool:
+    """Whether a class or an id has a word that names what is not the article; an article may have a header."""
+    return any(w in SAYS or BEGINS.match(w) and not (w == "header" and in_article) for w in map(str.lower, WORDS.findall(text)))
+
+
+def looks(name: str, text: str, in_article: bool) -> tuple[str, bool, str]:
+    """What a start tag's attributes say: the label of its node, whether it can't be part of the article, and the id if
+    that is all that says so and may be made from a heading."""
     cut = name in ASIDE or name == "header" and not in_article
     if "=" not in text and "hidden" not in text:
-        return name, cut
+        return name, cut, ""
     at = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)}
-    label = f"{name} {DIGITS.sub('0', at.get('class', ''))} {DIGITS.sub('0', at.get('id', ''))}"
-    if name in ("html", "body", "article", "main") and not ("comment" in label):
-        return label, cut
+    class_, id_ = at.get("class", ""), at.get("id", "")
+    label = f"{name} {DIGITS.sub('0', class_)} {DIGITS.sub('0', id_)}"
+    if name in ("html", "body", "article", "main"):
+        if "comment" not in label:
+            return label, cut, ""
+        id_ = id_ if COMMENT.fullmatch(id_) else ""  # else the page's own title or the like
     style = at.get("style", "").replace(" ", "").lower()
     cut = cut or "hidden" in at or at.get("role", "").lower() in ROLES or "display:none" in style or at.get("aria-hidden") == "true"
-    for word in WORDS.findall(f"{at.get('class', '')} {at.get('id', '')}"):
-        word = word.lower()
-        if word in SAYS or BEGINS.match(word) and not (word == "header" and in_article):
-            return label, True
-    return label, cut
+    if cut or name in HEADINGS:
+        return label, cut, ""
+    if in_article and name not in HOLDERS:
+        return label, any(CLEAR.match(w.lower()) for w in WORDS.findall(class_)), ""
+    if says(class_, in_article):
+        return label, True, ""
+    if says(id_, in_article) and not (in_article and name == "section"):
+        return label, True, id_ if in_article else ""
+    return label, False, ""
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """Elements, and the blocks of text with the element that each stands in, in page order. Unclosed tags are closed."""
     root = Node("#", None, "#", False, True)
     nodes, stack, blocks, text, at, n = [root], [root], [], [], 0, len(html)
+    named: list[Node] = []
 
     def flush():
         if text:
@@ -126,9 +147,12 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if name in VOID:
             continue
         parent = stack[-1]
-        label, cut = looks(name, m[3], parent.inside is not None)
+        label, cut, id_ = looks(name, m[3], parent.inside is not None)
         node = Node(name, parent, label, cut, parent.shown and name not in HIDDEN)
         nodes.append(node)
+        if id_:
+            node.id = id_
+            named.append(node)
         if name in ("article", "main") and not cut:
             for above in stack:  # what holds the article is no aside, whatever its class says
                 above.cut = above.cut and (above.name in ASIDE and above.name != "form" or above.inside is not None)
@@ -142,9 +166,23 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         elif not m[3].endswith("/") or name in BLOCK:
             stack.append(node)
     flush()
+    if named:
+        spare(named, blocks)
     return nodes, blocks
 
 
+def spare(named: list[Node], blocks: list[tuple[Node, str]]) -> None:
+    """Let be what is cut for an id only, if its first heading's text makes that id."""
+    left = {id(node): node for node in named}
+    for at, block in blocks:
+        above = list(chain(at))
+        if any(x.name in HEADINGS for x in above):
+            slug = LETTERS.sub("", block.lower())
+            for x in above:
+                if left.pop(id(x), None) and LETTERS.sub("", x.id.lower()) == slug:
+                    x.cut = False
+
+
 def chain(node: Node):
     while node:
         yield node
