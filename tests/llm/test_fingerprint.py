@@ -55,6 +55,31 @@ def test_terms_out_of_the_band_change_nothing(spark, docs):
     assert rows[0] == rows[50] == rows[51] and rows[0] != rows[1]
 
 
+def test_a_text_that_a_third_of_the_rows_copy(docs):
+    rnd = random.Random(4)
+    texts = [" ".join(f"w{rnd.randrange(900)}" for _ in range(40)) for _ in range(80)]
+    hot = texts[0]
+    texts[1] = hot.replace(hot.split()[7], "other")
+    rows = [*enumerate(texts), *((1000 + i, hot) for i in range(40))]
+    got = {r["doc_id"]: r for r in fingerprint.against_edited(docs(rows)).collect()}
+    for i in range(1, 40):  # the next of each copy but the first is a copy
+        assert got[1000 + i]["near_next"] == 1.0
+    assert len({got[i]["fingerprint"] for i in (0, *range(1000, 1040))}) == 1 and got[1000]["near_edited"] > 0.02
+    assert got[1]["near_next"] > 0.3  # a near copy, before the text itself
+
+
+def test_texts_out_of_the_band_are_graded(docs):
+    """Near copies, each a different text, that hold most of the rows: no term of theirs is in the band."""
+    hot = [f"h{i}" for i in range(40)]
+    rnd = random.Random(5)
+    near = [(i, " ".join([*hot[: i % 40], f"own{i}", *hot[i % 40 + 1 :]])) for i in range(40)]
+    far = [(100 + i, " ".join(f"w{rnd.randrange(900)}" for _ in range(40))) for i in range(60)]
+    got = {r["doc_id"]: r for r in fingerprint.against_edited(docs([*near, *far])).collect()}
+    assert all(0.3 < got[i]["near_next"] < 1 for i in range(1, 40))
+    assert all(got[i]["near_edited"] > 0 for i in range(1, 40))
+    assert all(got[i]["near_next"] < 0.2 for i in range(101, 160))
+
+
 def test_large_lexicons_are_joined(docs, monkeypatch):
     rnd = random.Random(3)
     table = docs([" ".join(f"w{rnd.randrange(50)}" for _ in range(30)) for _ in range(50)])

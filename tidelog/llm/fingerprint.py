@@ -20,7 +20,10 @@ SLOTS = 16 * len(RATES)
 DIGITS = 4
 LANES = 16 // DIGITS
 MASKS = SLOTS // 64
-#: The lexicon is broadcast up to this many terms (24 bytes each); beyond, terms meet it in a shuffle.
+#: A text with less than this share of its terms in the band (copies and templates that many share) is told by all its terms.
+SPARSE = 1 / 8
+#: The lexicon is broadcast up to this many terms (24 bytes each); beyond, terms meet it in a shuffle. So are the hashes of
+#: the texts that come more than once.
 BROADCAST_TERMS = 1_000_000
 
 
@@ -30,53 +33,89 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
+def masks(term: Column) -> list[Column]:
+    """A bit for each slot, set if the slot's lexicon may hold the term: the and of as many random bits as its rate says."""
+    found, width, each = [], SLOTS // len(RATES), len(RATES) // MASKS
+    for m in range(MASKS):
+        drawn, mask, bits = F.lit(-1).cast("long"), F.lit(0).cast("long"), 0
+        for i, rate in enumerate(RATES[m * each : (m + 1) * each]):
+            while bits < rate:
+                drawn, bits = drawn.bitwiseAND(F.xxhash64(F.lit(m), F.lit(bits), term)), bits + 1
+            here = ((1 << width) - 1) << width * i
+            mask = mask.bitwiseOR(drawn.bitwiseAND(F.lit(here - (1 << 64) if here >> 63 else here).cast("long")))
+        found.append(mask)
+    return found
+
+
+def different(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(text) of each different text once, and their number. Only texts that come more than once are shuffled, if few."""
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
+    counts = staged(rows.groupBy("_h").agg(F.count("*").alias("_n")))
+    again = counts.where("_n > 1").select("_h")
+    if again.count() > BROADCAST_TERMS:
+        return rows.groupBy("_h").agg(F.first("text").alias("text")).select("text"), counts.count()
+    once = rows.join(F.broadcast(again), "_h", "left_anti").select("text")
+    return once.unionByName(rows.join(F.broadcast(again), "_h", "left_semi").groupBy("_h").agg(F.first("text").alias("text")).select("text")), counts.count()
+
+
 def lexicon(docs: DataFrame, least: float = 0.001, most: float = 0.1) -> DataFrame:
-    """(term, mask_0, mask_1) of the terms in least to most of all documents, and in two at least; a bit for each slot.
+    """(term, mask_0, mask_1) of the terms in least to most of all different texts, and in two at least; a bit for each slot.
 
-    A document of t terms adds t to the sum of document frequencies, so there are at most mean(t) / least such terms.
+    Copies count once: a text that a third of the rows repeat has its terms in the band as any other. A text of t terms adds
+    t to the sum of document frequencies, so there are at most mean(t) / least such terms.
     """
-    n = docs.count()
-    df = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    texts, n = different(docs)
+    df = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     band = df.where((F.col("df") >= max(2.0, least * n)) & (F.col("df") <= max(2.0, most * n)))
-    masks = []
-    for m in range(MASKS):
-        mask = F.lit(0).cast("long")
-        for i in range(64):
-            slot = m * 64 + i
-            chosen = F.xxhash64(F.lit(slot), "term").bitwiseAND((1 << RATES[slot * len(RATES) // SLOTS]) - 1) == 0
-            mask = mask.bitwiseOR(F.when(chosen, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-        masks.append(mask.alias(f"mask_{m}"))
-    return band.select("term", *masks)
+    return band.select("term", *[mask.alias(f"mask_{m}") for m, mask in enumerate(masks(F.col("term")))])
 
 
-def slots(rows: DataFrame, texts: dict[str, str], lexicon: DataFrame, keys: list[str], size: int | None = None) -> DataFrame:
+def slots(rows: DataFrame, texts: dict[str, str], lexicon: DataFrame, keys: list[str], size: int | None = None, graded: bool = False) -> DataFrame:
     """keys and, for each name in texts, the slots of that column of rows, an array of numbers; keys tell rows apart.
 
     What is dealt by a part of keys already isn't shuffled again. A text of no term in the band has all slots empty (0) but
-    the first, which is then the hash of all its terms; without any term all are empty.
+    the first, which is then the hash of all its terms; without any term all are empty. If graded, a text with less than
+    SPARSE of its terms in the band has its slots filled from all its terms, by the same masks, so that likeness to its near
+    copies is graded too; the first is the hash of all its terms only where no slot takes any.
     """
     size = lexicon.count() if size is None else size
     side = F.broadcast(lexicon) if size <= BROADCAST_TERMS else lexicon
     each = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(name).alias("which"), F.col(col).alias("text")) for name, col in texts.items()])).alias("x"))
     said = each.select(*keys, "x.which", F.explode_outer(terms(F.col("x.text"))).alias("term")).join(side, "term", "left")
     zero = F.lit(0).cast("long")
-    masks = [F.coalesce(f"mask_{m}", zero).alias(f"mask_{m}") for m in range(MASKS)]
-    said = said.select(*keys, "which", F.coalesce("term", zero).alias("term"), *masks, F.col("mask_0").isNotNull().cast("int").alias("in_band"))
+    held = [F.coalesce(f"mask_{m}", zero).alias(f"mask_{m}") for m in range(MASKS)]
+    in_band = F.col("mask_0").isNotNull().cast("int")
+    said = said.select(*keys, "which", F.coalesce("term", zero).alias("term"), *held, in_band.alias("in_band"), F.col("term").isNotNull().cast("int").alias("is_term"))
+    if graded:
+        said = said.withColumns({f"own_{m}": mask for m, mask in enumerate(masks(F.col("term")))})
     # A slot's bit, moved to the sign and back over all bits, lets a term pass or not without a branch; a sum holds LANES
     # slots side by side.
     low = F.lit((1 << 4 * DIGITS) - 1).cast("long")
-    passes = lambda s: F.shiftright(F.shiftleft(f"mask_{s // 64}", 63 - s % 64), 63)
     said = said.withColumns({f"lane_{i}": F.shiftleft(F.col("term").bitwiseAND(low), 4 * DIGITS * i) for i in range(LANES)})
-    sums = []
-    for n in range(SLOTS // LANES):
-        held = F.col("lane_0").bitwiseAND(passes(n * LANES))
-        for i in range(1, LANES):
-            held = held.bitwiseOR(F.col(f"lane_{i}").bitwiseAND(passes(n * LANES + i)))
-        sums.append(F.bit_xor(held).alias(f"sum_{n}"))
-    summed = said.groupBy(*keys, "which").agg(*sums, F.bit_xor("term").alias("all"), F.max("in_band").alias("some"))
-    each = [F.shiftrightunsigned(F.col(f"sum_{s // LANES}"), 4 * DIGITS * (s % LANES)).bitwiseAND(low) for s in range(SLOTS)]
-    each[0] = F.when(F.col("some") == 1, each[0]).otherwise(F.col("all").bitwiseAND(low))
-    held = summed.select(*keys, "which", F.array(*each).alias("slots"))
+
+    def sums(mask):
+        passes = lambda s: F.shiftright(F.shiftleft(f"{mask}_{s // 64}", 63 - s % 64), 63)
+        for n in range(SLOTS // LANES):
+            held = F.col("lane_0").bitwiseAND(passes(n * LANES))
+            for i in range(1, LANES):
+                held = held.bitwiseOR(F.col(f"lane_{i}").bitwiseAND(passes(n * LANES + i)))
+            yield F.bit_xor(held).alias(f"{mask}_sum_{n}")
+
+    kinds = ["mask", "own"] if graded else ["mask"]
+    summed = said.groupBy(*keys, "which").agg(*[x for kind in kinds for x in sums(kind)], F.bit_xor("term").alias("all"), F.sum("in_band").alias("some"), F.sum("is_term").alias("terms"))
+    slot = lambda kind, s: F.shiftrightunsigned(F.col(f"{kind}_sum_{s // LANES}"), 4 * DIGITS * (s % LANES)).bitwiseAND(low)
+    each = [slot("mask", s) for s in range(SLOTS)]
+    if graded:
+        sparse, empty = F.col("some") < SPARSE * F.col("terms"), F.lit(True)
+        for n in range(SLOTS // LANES):
+            empty = empty & (F.col(f"own_sum_{n}") == 0)
+        own = [slot("own", s) for s in range(SLOTS)]
+        own[0] = F.when(empty, F.col("all").bitwiseAND(low)).otherwise(own[0])
+        each = F.when(sparse, F.array(*own)).otherwise(F.array(*each))
+    else:
+        each[0] = F.when(F.col("some") > 0, each[0]).otherwise(F.col("all").bitwiseAND(low))
+        each = F.array(*each)
+    held = summed.select(*keys, "which", each.alias("slots"))
     return held.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == name, F.col("slots"))).alias(name) for name in texts])
 
 
@@ -128,7 +167,7 @@ def against_edited(docs: DataFrame, least: float = 0.001, most: float = 0.1) ->
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     keys = ["part", "place", "last", "doc_id", "n_chars", "edited_sha256"]
-    found = slots(rows, {"fingerprint": "text", "edited_fingerprint": "edited"}, words, keys)
+    found = slots(rows, {"fingerprint": "text", "edited_fingerprint": "edited"}, words, keys, graded=True)
     found = found.withColumn("_next", F.lead("fingerprint").over(Window.partitionBy("part").orderBy("place"))).where("NOT last")
     near = lambda other: likeness(F.col("fingerprint"), F.col(other)).cast("double")
     text = [printed(F.col(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
