@@ -55,6 +55,23 @@ def test_batches(spark, docs, monkeypatch):
     check(packing.pack(table, 4, 300).collect(), table, 4, 300)
 
 
+def test_long_texts_waste_least(docs):
+    lengths = [3, 900, 4097, 4099, 5003, 5129, 8193, 9001, 20_021]
+    counts = [5, 2, 3, 1, 4, 2, 3, 1, 1]
+    rows = packing.pack(docs(["w " * n for n, c in zip(lengths, counts, strict=True) for _ in range(c)]), 4).collect()
+    best = min(padding([*some, lengths[-1]], lengths, counts) for some in combinations(lengths[:-1], 3))
+    assert sum(r["padding"] for r in rows) == best and {r["bucket_len"] for r in rows} <= set(lengths)
+
+
+def test_many_lengths_as_by_all_splits():
+    rnd = np.random.default_rng(2)
+    lengths, counts = np.sort(rnd.choice(9000, 300, replace=False)), rnd.integers(1, 50, 300)
+    cost = [0] + [float("inf")] * 300
+    for _ in range(5):
+        cost = [0] + [min(cost[i] + int((counts[i:j] * (lengths[j - 1] - lengths[i:j])).sum()) for i in range(j)) for j in range(1, 301)]
+    assert padding(packing.boundaries(lengths, counts, 5), lengths.tolist(), counts.tolist()) == cost[300]
+
+
 def test_odd_rows(odd):
     rows = packing.pack(odd, 3, 50).collect()
     check(rows, odd, 3, 50)

@@ -10,7 +10,7 @@ from tidelog.llm.common import WORD, staged
 
 #: Rows of a bucket that are numbered in one task, about.
 PART_ROWS = 20_000
-#: Lengths up to EXACT are bins of the histogram themselves; above, each doubling has 512 bins, closed by their longest.
+#: Bins of bin_top, for a coarser histogram than pack's: lengths up to EXACT themselves; above, each doubling has 512.
 EXACT, FINE = 4096, 9
 
 
@@ -29,22 +29,32 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     """At most that many of the lengths (distinct, ascending) as bucket tops, with least padding in all.
 
     cost[b][j], the least padding of the lengths up to the j-th in b buckets, is the minimum over i of cost[b-1][i] plus
-    the padding of the lengths after the i-th to the j-th. Of equal minima the smallest i counts.
+    the padding of the lengths after the i-th to the j-th. Of equal minima the smallest i counts. That i never falls as j
+    grows, so it is found for the middle j first and bounds it for those on either side: n log n steps a bucket. Whole
+    numbers, so minima are exact.
     """
     n = len(lengths)
     if not n:
         return []
-    size = np.concatenate([[0], np.cumsum(counts, dtype=np.float64)])
-    mass = np.concatenate([[0], np.cumsum(counts * lengths.astype(np.float64))])
-    cost = np.concatenate([[0], np.full(n, np.inf)])
+    lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
+    size = np.concatenate([[0], np.cumsum(counts)])
+    mass = np.concatenate([[0], np.cumsum(counts * lengths)])
+    cost = np.concatenate([[0], np.full(n, 1 << 62)])
     came = []
     for _ in range(min(buckets, n)):
-        new, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        new[0] = 0
-        for j in range(1, n + 1):
-            padded = cost[:j] + lengths[j - 1] * (size[j] - size[:j]) - (mass[j] - mass[:j])
-            back[j] = int(np.argmin(padded))
-            new[j] = padded[back[j]]
+        new, back = np.zeros(n + 1, np.int64), np.zeros(n + 1, int)
+        todo = [(1, n, 0, n - 1)]
+        while todo:
+            first, last, low, high = todo.pop()
+            j = (first + last) // 2
+            i = slice(low, min(high, j - 1) + 1)
+            padded = cost[i] + lengths[j - 1] * (size[j] - size[i]) - (mass[j] - mass[i])
+            k = int(np.argmin(padded))
+            new[j], back[j] = padded[k], low + k
+            if first < j:
+                todo.append((first, j - 1, low, low + k))
+            if j < last:
+                todo.append((j + 1, last, low + k, high))
         cost = new
         came.append(back)
     tops, j = [], n
@@ -60,23 +70,24 @@ def pack(docs: DataFrame, buckets: int = 8, budget: int = 65_536) -> DataFrame:
 
     A batch holds floor(budget / bucket_len) documents of one bucket, at least one (so a text longer than the budget is a
     batch by itself), and only a bucket's last batch holds fewer. Null and empty texts have no tokens and are packed all
-    the same. Documents of a bucket are numbered part by part, and in a part by doc_id, then length; parts are by the
+    the same. The boundaries are those of least padding over the lengths that occur; all of these go to the driver, and as d
+    different lengths take d * d / 2 words at least, they are few. Documents of a bucket are numbered part by part, and in a part by doc_id, then length; parts are by the
     hash of the id, so no bucket is numbered in one task. Ties of equal rows go either way and give equal columns.
     """
     lengths = docs.select("doc_id", word_count(F.col("text")).alias("n_tokens"), F.xxhash64("doc_id", "text").alias("_h"))
     # Written once: the optimiser would put the count of words into every expression that asks for it.
-    lengths = staged(lengths).withColumn("_top", bin_top(F.col("n_tokens")))
-    hist = lengths.groupBy("_top").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).toPandas().sort_values("_top")
-    tops = boundaries(hist["_top"].to_numpy(np.int64), hist["n"].to_numpy(np.int64), buckets)
+    lengths = staged(lengths)
+    hist = lengths.groupBy("n_tokens").agg(F.count("*").alias("n")).toPandas().sort_values("n_tokens")
+    tops = boundaries(hist["n_tokens"].to_numpy(np.int64), hist["n"].to_numpy(np.int64), buckets)
     if not tops:
         tops = [0]
-    place = np.searchsorted(tops, hist["_top"].to_numpy(np.int64)) if len(hist) else np.zeros(0, int)
+    place = np.searchsorted(tops, hist["n_tokens"].to_numpy(np.int64)) if len(hist) else np.zeros(0, int)
     held = [int(hist["n"].to_numpy()[place == b].sum()) for b in range(len(tops))]
     bucket = F.lit(0)
     for b, top in enumerate(tops[:-1]):
-        bucket = F.when(F.col("_top") > top, b + 1).otherwise(bucket)
+        bucket = F.when(F.col("n_tokens") > top, b + 1).otherwise(bucket)
     parts = F.get(F.array(*[F.lit(-(-n // PART_ROWS) or 1) for n in held]), F.col("bucket"))
-    lengths = lengths.withColumn("bucket", bucket).withColumn("_part", F.pmod(F.col("_h"), parts)).drop("_top")
+    lengths = lengths.withColumn("bucket", bucket).withColumn("_part", F.pmod(F.col("_h"), parts))
     # Offsets: one row per part; the parts of a bucket are a twenty-thousandth of its rows.
     starts = lengths.groupBy("bucket", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
