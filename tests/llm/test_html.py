@@ -61,6 +61,19 @@ def test_names_in_an_article(page, text):
     assert html.main_text(page) == text
 
 
+FORMULAS = [
+    ("<article><p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p><p>c</p></article>", "a x=2 b\nc"),
+    ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></p><p>c</p></article>", "so x=2\nc"),
+    ("<article><p><math><semantics><mi>x</mi><annotation encoding='TeX'>\\x</annotation><annotation-xml><p>X</p></annotation-xml></semantics></math> b</p></article>", "x b"),
+    ("<article><p><math><mi>x</mi><annotation>t</math> b</p><p>c</p></article>", "xt b\nc"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), FORMULAS)
+def test_formulas(page, text):
+    assert html.main_text(page) == text
+
+
 def test_deep_and_long_pages_end():
     assert html.main_text("<div>" * 3000 + "x" + "</div>" * 3000) == "x"
     assert len(html.main_text("<p>word</p>" * 50_000)) == 50_000 * 5 - 1

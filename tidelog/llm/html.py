@@ -24,7 +24,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-HIDDEN = frozenset("head script style title noscript template textarea iframe noembed noframes xmp svg math canvas object audio video select option button datalist".split())
+HIDDEN = frozenset("head script style title noscript template textarea iframe noembed noframes xmp svg canvas object audio video select option button datalist".split())
 #: Elements and roles that aren't the article, wherever they stand; `header` only where it isn't inside an article.
 ASIDE = frozenset("nav footer aside form menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -156,7 +156,11 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if name in ("article", "main") and not cut:
             for above in stack:  # what holds the article is no aside, whatever its class says
                 above.cut = above.cut and (above.name in ASIDE and above.name != "form" or above.inside is not None)
-        if name in RAW:
+        if name in ("annotation", "annotation-xml") and not m[3].endswith("/") and any(x.name == "math" for x in stack):
+            close = re.compile(f"</({name}|math)(?=[\\s/>]|\\Z)", re.I).search(html, at)
+            if close and close[1].lower() == name and (end := html.find(">", close.end())) >= 0:
+                at = end + 1  # a formula's source, not its text
+        elif name in RAW:
             close = re.compile(f"</{name}(?=[\\s/>]|\\Z)", re.I).search(html, at)
             at = close.start() if close else n
             if close and (end := html.find(">", at)) >= 0:
