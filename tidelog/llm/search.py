@@ -1,4 +1,4 @@
-"""Exact BM25 top-k: an inverted index per shard, block-max WAND inside it, and a merge of the shards' results.
+"""Exact BM25 top-k: an inverted index per shard, MaxScore with block maxima inside it, and a merge of the shards' results.
 
 Statistics (documents, mean length, document frequencies) are those of the whole corpus, so a shard's scores are final and
 its top k are all it can add to the result. Scores are sums of whole millionths, so they don't depend on the order of
