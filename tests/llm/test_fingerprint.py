@@ -18,33 +18,60 @@ def test_edits_against_brute_force(spark, docs):
         half = len(t) // 2
         edited = t[: len(t) - half] + after[1][:half]
         assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        mine = [got[i]["fingerprint"][s * 4 : s * 4 + 4] for s in range(fingerprint.SLOTS)]
+        mine = got[i]["fingerprint"].split(".")
+        assert len(mine) == fingerprint.SLOTS
         for near, other in (("near_edited", got[i]["edited_fingerprint"]), ("near_next", got[after[0]]["fingerprint"])):
-            theirs = [other[s * 4 : s * 4 + 4] for s in range(fingerprint.SLOTS)]
-            filled = sum(a != "0" * 4 or b != "0" * 4 for a, b in zip(mine, theirs, strict=True))
-            equal = sum(a == b != "0" * 4 for a, b in zip(mine, theirs, strict=True))
+            theirs = other.split(".")
+            filled = sum(a != "" or b != "" for a, b in zip(mine, theirs, strict=True))
+            equal = sum(a == b != "" for a, b in zip(mine, theirs, strict=True))
             assert abs(got[i][near] - (1.0 if mine == theirs else equal / filled if filled else 0.0)) < 1e-12
 
 
-def test_slots_are_hashes_of_the_band_by_hand(spark, docs):
-    texts = ["common alpha beta", "common alpha gamma", "common beta gamma delta", "common only"] + ["common"] * 16
-    table = docs(texts)
-    words = fingerprint.lexicon(table, 0.05, 0.5)
-    held = {r["term"]: r["mask_0"] & (1 << 64) - 1 | (r["mask_1"] & (1 << 64) - 1) << 64 for r in words.collect()}
-    names = {w: spark.range(1).select(F.xxhash64(F.lit(w))).first()[0] for w in "common alpha beta gamma delta only".split()}
-    assert set(held) == {names[w] for w in ("alpha", "beta", "gamma")}  # not what all have, nor what one has
-    got = {r["doc_id"]: r["f"] for r in fingerprint.slots(table, {"f": "text"}, words, ["doc_id"]).collect()}
-    for i, t in enumerate(texts[:4]):
-        terms = sorted({names[w] for w in t.split()})
-        for s in range(fingerprint.SLOTS):
-            want = 0
-            for h in terms:
-                want ^= h if held.get(h, 0) >> s & 1 else 0
-            if s == 0 and not set(terms) & set(held):
-                want = terms[0]
-                for h in terms[1:]:
-                    want ^= h
-            assert got[i][s] == want & 0xFFFF
+def xxhash(spark, rows):
+    """Spark's 64-bit hash of each array of numbers."""
+    table = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r array<long>")
+    return [x[0] for x in table.orderBy("i").select(F.xxhash64("r")).collect()]
+
+
+def test_whole_fingerprints_by_brute_force(spark, docs):
+    """Band by counting, distinct terms sorted, and each lexicon's terms picked out one by one and hashed."""
+    rnd = random.Random(6)
+    texts = ["common " + " ".join(f"w{rnd.randrange(300)}" for _ in range(rnd.choice((3, 40, 200)))) for _ in range(40)] + ["common only", "!!!", ""]
+    table, words = docs(texts), sorted({w for t in texts for w in t.split()} - {"!!!"})
+    number = dict(zip(words, (x[0] for x in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()), strict=True))
+    df = {w: sum(w in t.split() for t in texts) for w in words}
+    band = {w for w in words if 2 <= df[w] <= 0.5 * len(texts)}
+    lexicon = fingerprint.lexicon(table, 0.01, 0.5)
+    assert {r["term"] for r in lexicon.collect()} == {number[w] for w in band} and "common" not in band
+    size, want = 1 << 64, []
+    for t in texts[:-3]:
+        own = set(t.split())
+        some = own & band if len(own & band) >= fingerprint.SPARSE * len(own) else own
+        held = sorted(number[w] & -4 | 2 | (w in band) for w in some)
+        rows = [held]
+        for i in range(1 << fingerprint.SPLIT):
+            low = -size // 2 + i * (size >> fingerprint.SPLIT)
+            for rate in reversed(fingerprint.RATES):
+                high = low + (size >> rate)
+                inner = [low + (size >> r) for r in fingerprint.RATES if r > rate]
+                terms = [x for x in held if low <= x < high]
+                rows.append(sorted([*terms, *inner]) if terms else None)
+        hashes = iter(xxhash(spark, [r for r in rows if r is not None]))
+        want.append([next(hashes) if r is not None else 0 for r in rows])
+    got = [r["f"] for r in fingerprint.fingerprints(table, {"f": "text"}, lexicon, ["doc_id"]).orderBy("doc_id").collect()]
+    assert got[: len(want)] == want
+    # Without terms of its own a text is told by itself.
+    assert len({tuple(x) for x in got[-2:]}) == 2 and all(any(x) for x in got[-2:])
+
+
+def test_the_number_of_parts_changes_nothing(spark, docs):
+    rnd = random.Random(7)
+    rows = [(rnd.choice([None, rnd.randrange(60), rnd.randrange(1 << 60), -rnd.randrange(1 << 62)]), " ".join(f"w{rnd.randrange(50)}" for _ in range(rnd.randrange(12)))) for _ in range(150)]
+    table = docs(rows)
+    one = sorted(map(repr, fingerprint.against_edited(table, parts=1).collect()))
+    assert len(one) == 150
+    for parts in (4, 2000):
+        assert sorted(map(repr, fingerprint.against_edited(table, parts=parts).collect())) == one
 
 
 def test_terms_out_of_the_band_change_nothing(spark, docs):
@@ -94,7 +121,7 @@ def test_odd_rows(odd, docs):
     same = {r["fingerprint"] for r in got if r["doc_id"] in (7, 8)}
     assert len(same) == 1
     empty = [r for r in got if r["doc_id"] in (5, 6)]
-    assert {(r["n_chars"], r["edited_sha256"], r["fingerprint"]) for r in empty} == {(0, hashlib.sha256(b"").hexdigest(), "0" * 512)}
+    assert {(r["n_chars"], r["edited_sha256"]) for r in empty} == {(0, hashlib.sha256(b"").hexdigest())} and len({r["fingerprint"] for r in empty}) == 1
     assert all(0 <= r[c] <= 1 for r in got for c in ("near_edited", "near_next"))
     assert fingerprint.against_edited(odd.limit(0)).count() == 0
     alone = fingerprint.against_edited(docs([(4, "one two three")])).first()
