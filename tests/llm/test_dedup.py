@@ -123,6 +123,32 @@ def test_registers_match_by_similarity(n, share):
     assert abs(np.mean(bands) / dedup.BANDS - share**dedup.ROWS) < 0.08
 
 
+def test_hot_keys_are_dealt_into_tiles(spark, monkeypatch):
+    """One key that hundreds of unlike documents and one large component share: small tasks, and no link lost."""
+    monkeypatch.setattr(dedup, "PAIR_BLOCK", 40)
+    rnd, sets, component = np.random.default_rng(8), {}, {}
+    for i in range(500):
+        sets[i], component[i] = np.unique(rnd.integers(0, 1 << 64, int(rnd.integers(20, 90)), dtype=np.uint64)), i
+    for i in range(500, 560):  # near copies of the others, and a component of equal ones
+        base = sets[i - 500]
+        sets[i], component[i] = np.unique(np.concatenate([base[: len(base) - len(base) // 10], rnd.integers(0, 1 << 64, 2, dtype=np.uint64)])), i
+    for i in range(600, 760):
+        sets[i], component[i] = sets[3][:-1], 600
+    placed = spark.createDataFrame([(7, i, c) for i, c in component.items()], "key long, node long, component long")
+    table = spark.createDataFrame([(i, len(s), bytearray(dedup.brief(s))) for i, s in sets.items()], "node long, n long, brief binary")
+    tiles = dedup.tiles(placed, table)
+    assert tiles.groupBy("key", "size", "tile", "left", "right").count().agg({"count": "max"}).first()[0] <= 4 * dedup.PAIR_BLOCK
+    got = {tuple(r) for r in dedup.across(placed, table).collect()}
+    assert all(component[a] != component[b] and a < b for a, b in got)
+    for a in sets:
+        for b in sets:
+            if a < b and component[a] != component[b] and dedup.SHARE[1] * min(len(sets[a]), len(sets[b])) >= dedup.SHARE[0] * max(len(sets[a]), len(sets[b])):
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                    assert (a, b) in got
+    assert len(got) < 400
+
+
 def test_candidates_lose_no_link(monkeypatch):
     monkeypatch.setattr(dedup, "BRIEF", 300)
     rnd = np.random.default_rng(1)

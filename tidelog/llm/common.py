@@ -31,16 +31,29 @@ def staged(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder and read from there: a lost executor costs no recomputation."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    rows = df.sparkSession.read.schema(df.schema).parquet(path)
+    rows._staged_at = path
+    return rows
 
 
-#: Rows that a Python worker gets at a time. Spark's default of 10,000 is for narrow rows; these hold whole texts.
-ARROW_ROWS = 1000
+def discard(*tables: DataFrame) -> None:
+    """Deletes what staged() wrote for tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows and bytes that a Python worker gets at a time. Spark's defaults are for narrow rows; these hold whole texts.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow with batches of ARROW_ROWS rows, a setting of the session that this leaves set."""
+    """df.mapInArrow with batches of ARROW_ROWS rows and about ARROW_BYTES at most.
+
+    The plan reads these settings when it runs, so they stay set in the session.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return df.mapInArrow(run, schema)
 
 

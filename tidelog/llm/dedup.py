@@ -8,7 +8,7 @@ of Jaccard similarity 0.75 meet in none with probability (1 - 0.75**5)**64 = 3e-
 
 Groups aren't expanded into pairs. Members of a bucket are first compared with one of its members, and what that has
 linked counts as one component from then on; at last all pairs of a bucket that are still in different components are
-compared. So the number of comparisons follows the documents that are like each other but not linked.
+compared, in blocks, so that a task holds two of them however many documents share a bucket.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import map_arrow, staged
+from tidelog.llm.common import discard, map_arrow, staged
 
 SHINGLE, BANDS, ROWS, MANTISSA = 5, 64, 5, 10
 BUCKETS, NONE = BANDS * ROWS, np.uint16(0xFFFF)
@@ -27,7 +27,7 @@ BUCKETS, NONE = BANDS * ROWS, np.uint16(0xFFFF)
 SHARE = (75, 100)
 #: Ids are broadcast up to this many (8 bytes each); beyond, they are joined in a shuffle.
 BROADCAST_IDS = 500_000
-#: Members of a key's largest component that meet its other members in one task.
+#: Members of a block: a task compares two blocks of one key at a time, whatever the key's size.
 PAIR_BLOCK = 4096
 #: Sets of up to so many shingles are compared by the last 16 bits of their hashes before they are compared in full.
 BRIEF = 2048
@@ -191,25 +191,49 @@ def candidates(i: int, others: np.ndarray, sizes: np.ndarray, briefs: list[np.nd
     return np.concatenate([near, rest])
 
 
+def tiles(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, size, tile, left, right, block, main, above, node, component, n, brief): who meets whom, two blocks at a time.
+
+    Linked sets differ in size by a factor of 4/3 at most, so a key's members are dealt by classes of that width; a member is
+    also `above` the class below its own. In a class the key's largest component (main) is never compared with itself. Its
+    other members are dealt into blocks of PAIR_BLOCK, which meet each other in tiles of kind 0 (blocks left <= right) and the
+    blocks of main (left) in tiles of kind 1. So no tile holds more than about two blocks, and none is made of main alone.
+    """
+    counts = placed.groupBy("key", "component").agg(F.count("*").alias("_n"))
+    largest = counts.groupBy("key").agg(F.max_by("component", F.struct("_n", "component")).alias("_main"))
+    own = F.floor(F.log("n") / F.log(F.lit(SHARE[1] / SHARE[0])) + 1e-9).cast("int")
+    rows = placed.select("key", "node", "component").join(sets.select("node", "n", "brief"), "node").join(largest, "key")
+    rows = rows.withColumn("main", F.col("component") == F.col("_main")).drop("_main").withColumn("_own", own)
+    classes = F.explode(F.array(F.struct(F.col("_own").alias("size"), F.lit(False).alias("above")), F.struct((F.col("_own") - 1).alias("size"), F.lit(True).alias("above"))))
+    rows = rows.withColumn("_class", classes).select("key", "_class.size", "_class.above", "main", "node", "component", "n", "brief")
+    blocks = lambda which: F.ceil(F.count(F.when(which, 1)) / PAIR_BLOCK).cast("int")
+    held = rows.groupBy("key", "size").agg(blocks(~F.col("main")).alias("_minor"), blocks(F.col("main")).alias("_main"), F.count(F.when(~F.col("above"), 1)).alias("_own"))
+    rows = rows.join(held.where("_minor > 0 AND _own > 0"), ["key", "size"])
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("_main")).otherwise(F.col("_minor"))).cast("int")
+    rows = rows.withColumn("block", block)
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    tile = lambda kind, left, right: F.struct(F.lit(kind).alias("tile"), left.alias("left"), right.alias("right"))
+    b = F.col("block")
+    of_main = F.transform(numbers(F.col("_minor")), lambda j: tile(1, b, j))
+    of_minor = F.concat(F.transform(numbers(F.col("_minor")), lambda j: tile(0, F.least(b, j), F.greatest(b, j))), F.transform(numbers(F.col("_main")), lambda j: tile(1, j, b)))
+    rows = rows.withColumn("_to", F.explode(F.when(F.col("main"), of_main).otherwise(of_minor)))
+    return rows.select("key", "size", "_to.tile", "_to.left", "_to.right", "block", "main", "above", "node", "component", "n", "brief")
+
+
 def across(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of the nodes that share a key of placed (key, node, component), are in different components and may be linked.
 
-    A key's largest component is dealt into blocks, each of which gets the key's other members too: pairs are made and
-    ruled out where they meet, and a block is what a task holds.
+    Pairs are made and ruled out where they meet, in the tiles of a key.
     """
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("component", "n").alias("main"), F.sum("n").alias("n"))
-    rows = placed.join(largest, "key").withColumn("main", F.col("component") == F.col("main")).withColumn("blocks", F.ceil(F.col("n") / PAIR_BLOCK))
-    spread = F.when(F.col("main"), F.array(F.pmod(F.xxhash64("node"), "blocks"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    rows = rows.withColumn("block", F.explode(spread)).select("key", "block", "main", "node", "component").join(sets.select("node", "n", "brief"), "node")
 
     def pairs(group):
-        _, block, main, node, component, n, short = zip(*group, strict=True)
-        main, node, component, n = np.array(main), np.array(node, np.int64), np.array(component, np.int64), np.array(n, np.int64)
+        _, _, tile, left, right, block, main, above, node, component, n, short = zip(*group, strict=True)
+        block, main, above = np.array(block), np.array(main), np.array(above)
+        node, component, n = np.array(node, np.int64), np.array(component, np.int64), np.array(n, np.int64)
         short, found = [np.frombuffer(x, np.uint16) for x in short], []
-        for i in np.flatnonzero(~main):
-            other = main if block[0] else main | (np.arange(len(node)) > i)
-            other = candidates(i, np.flatnonzero(other & (component != component[i])), n, short)
+        for i in np.flatnonzero(~main & ((tile[0] == 1) | (block == left[0]))):
+            other = main if tile[0] else (block == right[0]) & ((left[0] != right[0]) | (np.arange(len(node)) > i))
+            other = candidates(i, np.flatnonzero(other & (component != component[i]) & ~(above & above[i])), n, short)
             found.append(np.stack([np.minimum(node[i], node[other]), np.maximum(node[i], node[other])]))
         return np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
 
@@ -218,10 +242,10 @@ def across(placed: DataFrame, sets: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if row[:2] != at:
+                if row[:5] != at:
                     if held:
                         out.append(pairs(held))
-                    held, at = [], row[:2]
+                    held, at = [], row[:5]
                 held.append(row)
             if out:
                 a, c = np.concatenate(out, 1)
@@ -230,8 +254,8 @@ def across(placed: DataFrame, sets: DataFrame) -> DataFrame:
             a, c = pairs(held)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
 
-    dealt = rows.select("key", "block", "main", "node", "component", "n", "brief").repartition("key", "block").sortWithinPartitions("key", "block")
-    return map_arrow(dealt, run, "a long, b long").distinct()
+    by = ["key", "size", "tile", "left", "right"]
+    return map_arrow(tiles(placed, sets).repartition(*by).sortWithinPartitions(*by), run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, regs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -272,7 +296,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = staged(small.where("a != b").distinct())
+        before, edges = edges, staged(small.where("a != b").distinct())
+        discard(before)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state:
             break
@@ -316,10 +341,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         else:
             first = placed.groupBy("key").agg(F.min(F.struct("component", "node")).alias("first"), F.max("component").alias("high")).where("first.component < high")
             pairs = placed.join(first, "key").where("component > first.component").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
-        more = confirmed(pairs, regs, sets)
-        links = staged(links.unionByName(more))
+        before, links = links, staged(links.unionByName(confirmed(pairs, regs, sets)))
+        discard(before)
+    discard(shared, active, regs, sets)
     node = all_.select("doc_id", "n_shingles", "w1", "w2").join(classes.select("w1", "w2", "node"), ["w1", "w2"], "left")
     node = staged(node.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("node"))).alias("node")))
+    discard(all_, classes)
     # A document of several texts links the nodes of all of them; its rows are all where the least of them is.
     least = node.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a IS NOT NULL")
     several = node.join(least.where("a < high").select("doc_id", "a"), "doc_id").where("a < node").select("a", F.col("node").alias("b"))
