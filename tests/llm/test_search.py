@@ -31,8 +31,7 @@ def brute(docs, queries, k):
 
 
 @pytest.mark.parametrize(("shard", "k"), [(7, 3), (10_000, 10), (40, 1)])
-def test_top_k_is_exact(spark, docs, shard, k, monkeypatch):
-    monkeypatch.setattr(search, "FIRST", 8)
+def test_top_k_is_exact(spark, docs, shard, k):
     rnd = random.Random(shard)
     vocabulary = [f"w{i}" for i in range(40)]
     texts = [" ".join(rnd.choices(vocabulary, [1 / (i + 1) for i in range(40)], k=rnd.randrange(30))) for _ in range(120)]
@@ -43,28 +42,49 @@ def test_top_k_is_exact(spark, docs, shard, k, monkeypatch):
     assert {tuple(r) for r in got} == brute(list(enumerate(texts)), asked, k)
 
 
-def test_pruned_and_whole_evaluation_agree():
+def test_pruned_and_whole_evaluation_agree(monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 8)
+    monkeypatch.setattr(search, "PIVOTS", 2)
     rnd = np.random.default_rng(1)
     bags, lengths = [], []
-    for _ in range(2000):
-        t = np.unique(rnd.zipf(1.3, 30) % 500)
-        bags.append((t.astype(np.int64), np.ones(len(t), np.int64)))
-        lengths.append(len(t))
-    index = search.Shard(list(range(2000)), bags, lengths, 2000, 30.0)
+    for i in range(2000):  # topics have words of their own, and all share some
+        t = np.unique(np.concatenate([rnd.zipf(1.3, 20) % 500, 1000 + 40 * (i % 50) + rnd.integers(0, 40, 12)]))
+        bags.append((t.astype(np.int64), rnd.integers(1, 4, len(t))))
+        lengths.append(int(bags[-1][1].sum()))
+    named = [None if i % 37 == 5 else i for i in range(2000)]
+    index = search.Shard(search.index_of(named, bags, lengths), 2000, 30.0)
     terms, df = np.unique(np.concatenate([b[0] for b in bags]), return_counts=True)
-    for q in (terms[:3], terms[::7], terms[-20:], terms):
+    for q in (terms[:3], terms[::7], terms[-20:], terms, *(bags[i][0] for i in range(0, 2000, 100))):
         n = df[np.searchsorted(terms, q)]
         for k in (1, 10):
             ids, score = index.top(q, n, k)
             full = np.zeros(2000, np.int64)
-            for t, d in zip(q, n, strict=True):
-                idf = math.log(1 + (2000 - d + 0.5) / (d + 0.5))
-                for i, (b, tf) in enumerate(bags):
-                    if t in b:
-                        w = tf[0] * 2.2 / (tf[0] + 1.2 * (1 - 0.75 + 0.75 * lengths[i] / 30.0))
-                        full[i] += int(np.rint(1_000_000 * idf * w))
-            want = sorted((-s, i) for i, s in enumerate(full) if s)[:k]
+            idf = dict(zip(q.tolist(), (1_000_000 * np.log(1 + (2000 - n + 0.5) / (n + 0.5))).tolist(), strict=True))
+            for i, (b, tf) in enumerate(bags):
+                norm = 1.2 * (1 - 0.75 + 0.75 * np.float64(lengths[i]) / 30.0)
+                full[i] = sum(int(np.rint(idf[t] * (f * 2.2 / (f + norm)))) for t, f in zip(b.tolist(), tf.astype(float), strict=True) if t in idf and named[i] is not None)
+            want = sorted((-s, i) for i, s in enumerate(full.tolist()) if s)[:k]
             assert list(zip((-score).tolist(), ids.tolist(), strict=True)) == want
+    index.scored = index.listed = 0
+    for i in range(0, 2000, 50):
+        index.top(bags[i][0], df[np.searchsorted(terms, bags[i][0])], 5)
+    assert 0 < index.scored < 0.7 * index.listed
+
+
+def test_a_repeated_query_is_one(spark, docs):
+    table = docs(["a b c", "b c d", "x y", "a x"])
+    kind = "query_id long, text string"
+    once = sorted(map(tuple, search.top_k(table, spark.createDataFrame([(1, "a b x")], kind)).collect()))
+    assert sorted(map(tuple, search.top_k(table, spark.createDataFrame([(1, "a b"), (1, "x a"), (1, "a b")], kind)).collect())) == once
+
+
+def test_queries_go_in_blocks(spark, docs, monkeypatch):
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(30)}" for _ in range(12)) for _ in range(60)]
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    one = sorted(map(tuple, search.top_k(docs(texts), asked, 4).collect()))
+    monkeypatch.setattr(search, "QUERIES", 25)
+    assert sorted(map(tuple, search.top_k(docs(texts), asked, 4, shard=20).collect())) == one
 
 
 def test_odd_rows(spark, odd):

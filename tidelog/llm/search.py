@@ -1,12 +1,14 @@
-"""Exact BM25 top-k: an inverted index per shard, MaxScore with block maxima inside it, and a merge of the shards' results.
+"""Exact BM25 top-k: an inverted index per shard, block-max WAND inside it, and a merge of the shards' results.
 
 Statistics (documents, mean length, document frequencies) are those of the whole corpus, so a shard's scores are final and
 its top k are all it can add to the result. Scores are sums of whole millionths, so they don't depend on the order of
 addition and ties are ties.
 
-In a shard the terms of a query fall into those of short lists, which are walked, and those of long lists, which are only
-looked up. The walked lists give each document a part of its score; the maxima of the long lists in the document's block
-bound the rest. Documents whose bound isn't over the threshold, the k-th best score so far, are never scored.
+A list keeps, for each block of documents that it has any of, where its postings begin and the largest of their scores. The
+bound of a block is the sum of these over the query's lists. The threshold is the k-th best score so far, at first that of the
+blocks of largest bounds. The cursor then goes through the blocks in order of documents: the next pivots are the blocks from
+there on whose bounds reach the threshold; all others are skipped without a look at their postings. Pivots are scored a window
+at a time, vectorised, after which the threshold is raised and the cursor moves on.
 """
 
 from __future__ import annotations
@@ -19,16 +21,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import map_arrow, staged
+from tidelog.llm.common import discard, map_arrow, shared_dir, staged
 
 TERM = re.compile(r"\w+")
 K1, B, UNIT = 1.2, 0.75, 1_000_000
-#: Documents of a shard, and of a block of it. A list of a sixteenth of the shard or more is a long one.
-SHARD, BLOCK, LONG = 16_384, 64, 16
-#: Documents that are scored for a first threshold; more than any k in use, or else there is none.
-FIRST = 256
-#: Words of which a worker remembers the hash, and postings that it counts before it passes the counts on.
-MEMO, POSTINGS = 100_000, 4_000_000
+#: Documents of a shard, about, and of a block of it.
+SHARD, BLOCK = 16_384, 64
+#: Blocks that are scored for a first threshold, and pivots of the first window; each window is twice the one before.
+FIRST, PIVOTS = 4, 8
+#: Queries that meet the shards in one job, about, and words of them: what is broadcast at a time.
+QUERIES, QUERY_WORDS = 512, 400_000
+#: Words of which a worker remembers the hash.
+MEMO = 100_000
 
 
 class Hashes(dict):
@@ -48,111 +52,141 @@ def terms(text: str | None) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
 
 
-def statistics(docs: DataFrame) -> tuple[int, float, DataFrame]:
-    """Number of documents, mean length, and (term, df) of all terms."""
+def ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """start[0] up to end[0], then start[1] up to end[1], and so on, without the ends."""
+    n = end - start
+    before = np.cumsum(n) - n
+    return np.arange(n.sum()) + np.repeat(start - before, n)
 
-    def run(batches):
-        found, held, documents, length = [], 0, 0, 0
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                t = terms(text)
-                documents, length = documents + 1, length + len(t)
-                found.append(np.unique(t))
-                held += len(found[-1])
-                if held >= POSTINGS:
-                    yield counted(found)
-                    found, held = [], 0
-        yield counted(found)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int64()), pa.array([documents, length], pa.int64())], ["term", "df"])
-
-    def counted(found):
-        term, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(n, pa.int64())], ["term", "df"])
-
-    rows = staged(map_arrow(docs.select("text"), run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")))
-    whole = dict(rows.where("term < 0").collect())
-    n = whole.get(-1, 0)
-    return n, whole.get(-2, 0) / n if n else 0.0, rows.where("term >= 0")
+
+#: The columns of an index: a shard's documents (ids, whether they have one, words), its terms with their lists' beginnings, and
+#: the lists' documents and term frequencies, each as the bytes of an array.
+INDEX = {"ids": np.int64, "named": np.bool_, "length": np.int64, "term": np.int64, "start": np.int64, "doc": np.uint32, "tf": np.uint32}
+
+
+def index_of(ids: list[int | None], bags: list[tuple[np.ndarray, np.ndarray]], length: list[int]) -> dict[str, np.ndarray]:
+    """The inverted index of some documents, given as their distinct terms and frequencies.
+
+    Neighbours should be alike, for tight block maxima: they are ordered by their most frequent term (much the language), then
+    length.
+    """
+    order = sorted(range(len(ids)), key=lambda i: (bags[i][0][np.argmax(bags[i][1])] if len(bags[i][0]) else -1, length[i]))
+    term = np.concatenate([*(bags[i][0] for i in order), np.zeros(0, np.int64)])
+    by_term = np.argsort(term, kind="stable")
+    term = term[by_term]
+    start = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(bags[i][0]) for i in order])[by_term]
+    tf = np.concatenate([*(bags[i][1] for i in order), np.zeros(0, np.int64)])[by_term]
+    found = {"ids": [ids[i] or 0 for i in order], "named": [ids[i] is not None for i in order], "length": [length[i] for i in order], "term": term[start], "start": np.append(start, len(term)), "doc": doc, "tf": tf}
+    return {name: np.asarray(x).astype(INDEX[name]) for name, x in found.items()}
 
 
 class Shard:
-    """Inverted index of some documents, which answers one query after another."""
-
-    def __init__(self, ids: list[int], bags: list[tuple[np.ndarray, np.ndarray]], lengths: list[int], documents: int, mean: float):
-        self.documents, self.n = documents, len(ids)
-        # Neighbours should be alike, for tight block maxima: by their most frequent term (much the language), then length.
-        order = sorted(range(self.n), key=lambda i: (bags[i][0][np.argmax(bags[i][1])] if len(bags[i][0]) else -1, lengths[i]))
-        self.ids = np.array([ids[i] for i in order], np.int64)
-        term = np.concatenate([*(bags[i][0] for i in order), np.zeros(0, np.int64)])
-        by_term = np.argsort(term, kind="stable")
-        term = term[by_term]
-        start = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
-        self.term, self.start = term[start], np.append(start, len(term))
-        self.doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(bags[i][0]) for i in order])[by_term]
-        self.tf = np.concatenate([*(bags[i][1] for i in order), np.zeros(0, np.int64)]).astype(np.int32)[by_term]
-        self.norm = K1 * (1 - B + B * np.array([lengths[i] for i in order], np.float64) / (mean or 1))
+    """An index with its block maxima, which answers one query after another."""
+
+    def __init__(self, index: dict[str, np.ndarray], documents: int, mean: float):
+        self.ids, self.named, self.term, self.start = (index[n] for n in ("ids", "named", "term", "start"))
+        self.documents, self.n, self.doc = documents, len(self.ids), index["doc"].astype(np.int64)
+        norm = K1 * (1 - B + B * index["length"] / (mean or 1))
+        tf = index["tf"].astype(np.float64)
+        #: A posting's score is its part times the term's idf.
+        self.part = tf * (K1 + 1) / (tf + norm[self.doc])
+        block = self.doc // BLOCK
+        first = np.append(True, block[1:] != block[:-1])[: len(block)]
+        first[self.start[:-1]] = True
+        #: Entries of lists: the first posting, the block and the largest part of each block that a list has any of.
+        self.entry = np.append(np.flatnonzero(first), len(block))
+        self.block = block[self.entry[:-1]]
+        self.most = np.maximum.reduceat(self.part, self.entry[:-1]) if len(block) else self.part
+        self.first_entry = np.searchsorted(self.entry, self.start)
         self.blocks = -(-self.n // BLOCK)
-        #: Lists that a query has asked for: documents and scores of a short one; scores of all documents and block maxima of a
-        #: long one.
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.long: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def load(self, at: int, df: int) -> None:
-        """The list of a term; the idf of a term is the same in all queries."""
-        idf = np.log(1 + (self.documents - df + 0.5) / (df + 0.5))
-        doc, tf = self.doc[self.start[at] : self.start[at + 1]].astype(np.int64), self.tf[self.start[at] : self.start[at + 1]].astype(np.float64)
-        score = np.rint(UNIT * idf * (tf * (K1 + 1) / (tf + self.norm[doc])))
-        if len(doc) * LONG < self.n:
-            self.short[at] = doc, score
-        else:
-            row = np.zeros(self.blocks * BLOCK, np.int64)
-            row[doc] = score
-            self.long[at] = row[: self.n], row.reshape(self.blocks, BLOCK).max(1)
+        #: Postings that were scored, of how many in the lists of the queries so far.
+        self.scored = self.listed = 0
 
     def top(self, term: np.ndarray, df: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best documents with a positive score; of equal scores the smaller ids."""
-        if not self.n or not len(self.term):
-            return self.ids[:0], np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.term, term), len(self.term) - 1)
-        known = self.term[at] == term
-        walked, looked_up = [], []
-        for p, n in zip(at[known].tolist(), df[known].tolist(), strict=True):
-            if p not in self.short and p not in self.long:
-                self.load(p, n)
-            if p in self.short:
-                walked.append(self.short[p])
-            else:
-                looked_up.append(self.long[p])
         score = np.zeros(self.n, np.int64)
-        if walked:  # whole numbers below 2**53, so the sums of floats are exact
-            docs, scores = (np.concatenate(x) for x in zip(*walked, strict=True))
-            score = np.bincount(docs, scores, self.n).astype(np.int64)
-        if not looked_up:
-            return self.best(np.flatnonzero(score), score, k)
-        most = looked_up[0][1].copy()
-        for _, maxima in looked_up[1:]:
-            most += maxima
-        bound = score + np.repeat(most, BLOCK)[: self.n]
-        # Some of the best bounds are scored first, for a threshold; then whatever may still reach it.
-        first = np.argpartition(-bound, FIRST)[:FIRST] if FIRST < self.n else np.arange(self.n)
-        full = score[first]
-        for row, _ in looked_up:
-            full += row[first]
-        threshold = max(1, np.partition(full, -k)[-k]) if len(full) >= k else 1
-        rest = np.flatnonzero(bound >= threshold)
-        if len(rest) * 8 < self.n:
-            full = score[rest]
-            for row, _ in looked_up:
-                full += row[rest]
-            score[rest] = full
-        else:  # where most documents may reach it, whole rows are added faster than parts are picked
-            for row, _ in looked_up:
-                score += row
-        return self.best(rest[score[rest] >= threshold], score, k)
-
-    def best(self, some: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((self.ids[some], -score[some]))[:k]
-        return self.ids[some][order], score[some][order]
+        if len(self.term) and k > 0:
+            at = np.minimum(np.searchsorted(self.term, term), len(self.term) - 1)
+            known = self.term[at] == term
+            at, df = at[known], df[known].astype(np.float64)
+            idf = UNIT * np.log(1 + (self.documents - df + 0.5) / (df + 0.5))
+            self.listed += int((self.start[at + 1] - self.start[at]).sum())
+            self.wand(at, idf, k, score)
+        best = np.flatnonzero(score)
+        best = best[np.lexsort((self.ids[best], -score[best]))[:k]]
+        return self.ids[best], score[best]
+
+    def wand(self, at: np.ndarray, idf: np.ndarray, k: int, score: np.ndarray) -> None:
+        """Scores of all documents that may be among the k best; others have 0 or their score."""
+        entry = ranges(self.first_entry[at], self.first_entry[at + 1])
+        idf = np.repeat(idf, self.first_entry[at + 1] - self.first_entry[at])
+        block = self.block[entry]
+        # Whole numbers below 2**53, so these sums of floats are exact.
+        bound = np.bincount(block, np.rint(idf * self.most[entry]), self.blocks)
+
+        def evaluate(pivots: np.ndarray) -> int:
+            """Scores the documents of some blocks; the threshold after that."""
+            chosen = np.zeros(self.blocks, bool)
+            chosen[pivots] = True
+            some = np.flatnonzero(chosen[block])
+            start, end = self.entry[entry[some]], self.entry[entry[some] + 1]
+            posting = ranges(start, end)
+            self.scored += len(posting)
+            found = np.bincount(self.doc[posting], np.rint(np.repeat(idf[some], end - start) * self.part[posting]), self.n).astype(np.int64)
+            found[~self.named] = 0
+            np.add(score, found, out=score)
+            bound[pivots] = -1
+            return max(1, int(np.partition(score, -k)[-k])) if self.n >= k else 1
+
+        threshold = evaluate(np.argpartition(-bound, FIRST)[:FIRST] if FIRST < self.blocks else np.arange(self.blocks))
+        cursor, width = 0, PIVOTS
+        while len(pivots := cursor + np.flatnonzero(bound[cursor:] >= threshold)[:width]):
+            threshold = evaluate(pivots)
+            cursor, width = int(pivots[-1]) + 1, width * 2
+
+
+def build(docs: DataFrame, shard: int) -> DataFrame:
+    """The index of all documents, a row per shard, written to the shared folder: what follows reads it without a shuffle."""
+    shards = max(1, -(-docs.count() // shard))
+
+    def run(batches):
+        at, ids, bags, length = None, [], [], []
+
+        def row():
+            index = index_of(ids, bags, length)
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in index.values()], list(index))
+
+        for b in batches:
+            for number, id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if number != at:
+                    if ids:
+                        yield row()
+                    at, ids, bags, length = number, [], [], []
+                t = terms(text.as_py())
+                ids.append(id_)
+                bags.append(np.unique(t, return_counts=True))
+                length.append(len(t))
+        if ids:
+            yield row()
+
+    held = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text")
+    return staged(map_arrow(held.repartitionByRange(shards, "shard").sortWithinPartitions("shard"), run, ", ".join(f"{n} binary" for n in INDEX)))
+
+
+def statistics(index: DataFrame) -> tuple[int, float, DataFrame]:
+    """Number of documents, mean length, and (term, df) of all terms."""
+
+    def run(batches):
+        for b in batches:
+            for term, start, length in zip(*[b.column(n).to_pylist() for n in ("term", "start", "length")], strict=True):
+                length = np.frombuffer(length, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(np.frombuffer(term, np.int64), [-1, -2])), pa.array(np.append(np.diff(np.frombuffer(start, np.int64)), [len(length), length.sum()]))], ["term", "df"])
+
+    rows = staged(map_arrow(index.select("term", "start", "length"), run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")))
+    whole = dict(rows.where("term < 0").collect())
+    n = whole.get(-1, 0)
+    return n, whole.get(-2, 0) / n if n else 0.0, rows.where("term >= 0")
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD) -> DataFrame:
@@ -161,48 +195,50 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD)
     A query is the set of all its text's words; a document scores by BM25 with corpus-wide statistics, and only documents
     with a positive score are returned, ties by the smaller doc_id. Null and empty texts are documents of no words, and as
     queries find nothing. Documents with a null doc_id count for the statistics but can't be named in a result; repeated
-    rows are each a document, and a repeated query_id a query of all its texts' results. Other columns are ignored.
-    Documents are dealt by the hash of their id, and each shard sees every query, one after the other.
+    rows are each a document; a repeated query_id is one query of the words of all its texts; null query ids are left out.
+    Other columns are ignored; empty tables give no rows.
+
+    Documents are dealt by hash, and the texts are shuffled once. Queries go in blocks of about QUERIES, a job each, that is
+    broadcast to the shards: no task's work or memory grows with the corpus, nor does what the driver holds at a time.
     """
-    documents, mean, df = statistics(docs)
-    shards = max(1, -(-documents // shard))
+    index = build(docs, shard)
+    documents, mean, df = statistics(index)
 
     def asked(batches):
         for b in batches:
             found = [np.unique(terms(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["query_id", "term"])
 
-    words = map_arrow(queries.where("query_id IS NOT NULL").select("query_id", "text"), asked, "query_id long, term array<long>").select("query_id", F.explode("term").alias("term"))
-    words = words.join(df, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", F.col("df").cast("int").alias("df"))).alias("words"))
-    words = words.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.lit(None).cast("string").alias("text"), F.col("words.term").alias("term"), F.col("words.df").alias("df"))
-    held = docs.where("doc_id IS NOT NULL").select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "text", F.lit(None).cast("array<long>").alias("term"), F.lit(None).cast("array<int>").alias("df"))
-
-    def run(batches):
-        at, ids, bags, lengths, index = None, [], [], [], None
-        for b in batches:
-            out: list[tuple] = []
-            texts, term, df = b.column(3), b.column(4), b.column(5)
-            for i, (number, kind, id_) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                if number != at:
-                    at, ids, bags, lengths, index = number, [], [], [], None
-                if kind == 0:
-                    t = terms(texts[i].as_py())
-                    ids.append(id_)
-                    bags.append(np.unique(t, return_counts=True))
-                    lengths.append(len(t))
-                else:
-                    if index is None:
-                        index = Shard(ids, bags, lengths, documents, mean)
-                        bags.clear()
-                    found, score = index.top(term[i].values.to_numpy(), df[i].values.to_numpy().astype(np.int64), k)
-                    out.append((np.full(len(found), id_), found, score))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["query_id", "doc_id", "micro"])
-
-    dealt = held.unionByName(words).repartition("shard").sortWithinPartitions("shard", "kind")
-    found = map_arrow(dealt.select("shard", "kind", "id", "text", "term", "df"), run, "query_id long, doc_id long, micro long")
+    words = map_arrow(queries.where("query_id IS NOT NULL").select("query_id", "text"), asked, "query_id long, term array<long>").select("query_id", F.explode("term").alias("term")).distinct()
+    words = words.join(df, "term").groupBy("query_id").agg(F.collect_list("term").alias("term"), F.collect_list("df").alias("df"))
+    words = staged(words.withColumn("h", F.xxhash64("query_id")))
+    count, held = words.agg(F.count("*"), F.coalesce(F.sum(F.size("term")), F.lit(0))).first()
+    blocks = max(1, -(-count // QUERIES), -(-held // QUERY_WORDS))
+
+    def answer(block):
+        def run(batches):
+            for b in batches:
+                for row in b.to_pylist():
+                    shard, out = Shard({n: np.frombuffer(row[n], kind) for n, kind in INDEX.items()}, documents, mean), []
+                    for query_id, term, df in block.value:
+                        found, score = shard.top(term, df, k)
+                        out.append((np.full(len(found), query_id), found, score))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["query_id", "doc_id", "micro"])
+
+        return run
+
+    path, kind = shared_dir(docs.sparkSession), "query_id long, doc_id long, micro long"
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("micro").desc(), "doc_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", (F.col("micro") / UNIT).alias("score"))
+    for number in range(blocks):
+        some = words.where(F.pmod("h", F.lit(blocks)) == number).select("query_id", "term", "df").collect()
+        block = docs.sparkSession.sparkContext.broadcast([(q, np.array(t, np.int64), np.array(n, np.int64)) for q, t, n in some])
+        found = map_arrow(index, answer(block), kind)
+        found.withColumn("rank", rank).where(F.col("rank") <= k).write.mode("append").parquet(path)
+        block.unpersist()
+    discard(index, words)
+    found = docs.sparkSession.read.schema(f"{kind}, rank int").parquet(path)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", (F.col("micro") / UNIT).alias("score"))
 
 
 #: All scores of all pairs that share a word.
