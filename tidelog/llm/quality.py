@@ -1,8 +1,8 @@
 """Quality by importance resampling: how much likelier a text is under the target's hashed n-grams than under the corpus's.
 
 Two generative models, of texts that are labelled good and of all texts, are bags of hashed words and word pairs. A
-document's log importance weight is the log ratio of its likelihoods, plus a small margin per feature; adding Gumbel noise and taking the k largest
-draws k documents without replacement in proportion to their weights.
+document's log importance weight is the log ratio of its likelihoods; adding Gumbel noise and taking the k largest draws k
+documents without replacement in proportion to their weights.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from tidelog.llm.common import KEY_BITS, kth_largest, map_arrow, staged, with_id
 #: Buckets of words and of word pairs, together the size of a model. Few, so that a small corpus fills them: a bucket that
 #: holds little but one document's words says that the document isn't labelled, not that it is bad.
 WORDS, PAIRS = 1 << 10, 1 << 10
-#: Part of the corpus's own distribution in the target's, and nats a feature may fall short; both favour keeping.
-MIX, MARGIN = 0.3, 0.04
+#: The target model is smoothed by the corpus's own: it is a part MIX of the mixture, and counts as PRIOR features beside those
+#: of the target's texts, so that a target of few texts says little against what it doesn't hold.
+MIX, PRIOR = 0.3, 1 << 17
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Words of which a worker remembers the hash.
 MEMO = 100_000
-#: Characters of a text that are hashed at a time; a token or pair across the border counts as two.
+#: Texts above so many characters are read token by token: slower, but with four bytes of memory a token.
 SPAN = 1 << 22
 
 
@@ -42,13 +43,14 @@ _hashes = Hashes()
 
 def features(text: str) -> np.ndarray:
     """Bucket of each word, then of each pair of neighbours; a word next to itself has a bucket of its own."""
-    out = []
-    for at in range(0, len(text), SPAN):
-        words = TOKEN.findall(text[at : at + SPAN].lower())
+    text = text.lower()
+    if len(text) <= SPAN:
+        words = TOKEN.findall(text)
         h = np.fromiter(map(_hashes.__getitem__, words), np.uint32, len(words))
-        pair = ((h[:-1] * np.uint32(0x9E3779B1) ^ h[1:]) * np.uint32(0x85EBCA77) >> np.uint32(16)) % np.uint32(PAIRS - 1) + np.uint32(1)
-        out += [h % np.uint32(WORDS), np.where(h[:-1] == h[1:], 0, pair) + np.uint32(WORDS)]
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+    else:
+        h = np.fromiter((_hashes[m[0]] for m in TOKEN.finditer(text)), np.uint32)
+    pair = ((h[:-1] * np.uint32(0x9E3779B1) ^ h[1:]) * np.uint32(0x85EBCA77) >> np.uint32(16)) % np.uint32(PAIRS - 1) + np.uint32(1)
+    return np.concatenate([h % np.uint32(WORDS), np.where(h[:-1] == h[1:], 0, pair) + np.uint32(WORDS)])
 
 
 def counts(texts: DataFrame) -> np.ndarray:
@@ -70,14 +72,14 @@ def counts(texts: DataFrame) -> np.ndarray:
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Log of target over raw by bucket, plus MARGIN; words and pairs are a distribution each. Without target text it is 0."""
+    """Log of target over raw by bucket; words and pairs are a distribution each. Without target text it is 0."""
     if not target.any():
         return np.zeros(WORDS + PAIRS)
     parts = []
     for part in (slice(None, WORDS), slice(WORDS, None)):
         r = (raw[part] + 1e-9) / (raw[part] + 1e-9).sum()
-        t = (target[part] + WORDS * r) / (target[part].sum() + WORDS)
-        parts.append(np.log((1 - MIX) * t + MIX * r) - np.log(r) + MARGIN)
+        t = (target[part] + PRIOR * r) / (target[part].sum() + PRIOR)
+        parts.append(np.log((1 - MIX) * t + MIX * r) - np.log(r))
     return np.concatenate(parts)
 
 
