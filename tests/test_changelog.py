@@ -1,3 +1,5 @@
+import math
+import zlib
 import random
 
 import pytest
@@ -145,3 +147,46 @@ def test_pruning_an_inverted_range_finds_nothing(spark):
     edits = spark.createDataFrame([(1, [1], []), (2, [2], [1])], "version long, sst_add array<int>, sst_del array<int>")
     assert [r[0] for r in manifest.live_at(edits, 2).collect()] == [2]
     assert sorted(r[0] for r in manifest.live_in(edits, [1, 2]).collect()) == [1, 2]
+
+
+def swaps(spark, rows, kind, span=cas.SPAN, key="long"):
+    table = spark.createDataFrame(rows, f"lsn long, key {key}, cur {kind}, new {kind}")
+    return {r["lsn"]: (r["succeeded"], r["cur_value"]) for r in cas.compare_and_swap(table, span).collect()}
+
+
+def test_swaps_of_exact_values(spark):
+    """Longs that no double holds, NaN, empty bytes, null keys: each is itself, and only null is absent."""
+    big = (1 << 53) + 1
+    for span in (cas.SPAN, 2):  # all at once, and as a hot key in spans
+        got = swaps(spark, [(1, 1, None, big), (2, 1, big - 1, 5), (3, 1, big, None), (4, 1, None, None)], "long", span)
+        assert got == {1: (True, None), 2: (False, big), 3: (True, None), 4: (True, None)}
+        nan = float("nan")
+        got = swaps(spark, [(1, 1, None, nan), (2, 1, None, 1.0), (3, 1, nan, 2.0), (4, 1, nan, 3.0)], "double", span)
+        assert got[1][0] and not got[2][0] and math.isnan(got[2][1]) and got[3][0] and got[4] == (False, 2.0)
+        got = swaps(spark, [(1, None, None, bytearray(b"")), (2, None, None, bytearray(b"x")), (3, None, bytearray(b""), None), (4, "b", None, bytearray(b"y"))], "binary", span, "string")
+        assert got == {1: (True, None), 2: (False, b""), 3: (True, None), 4: (True, None)}
+
+
+def test_a_hot_key_in_spans_is_as_in_one(spark):
+    rnd = random.Random(9)
+    value = lambda: rnd.choice([None, *range(4)])
+    rows = [(i, rnd.choice([7, 7, 7, i % 9]), value(), value()) for i in range(1, 2000)]
+    assert swaps(spark, rows, "long", 50) == swaps(spark, rows, "long")
+
+
+def test_framed_segments(spark):
+    def record(payload):
+        return b"\xef\x00" + len(payload).to_bytes(4, "little") + payload + zlib.crc32(payload).to_bytes(4, "little")
+
+    some = [b"", b"a", b"bc" * 500]
+    data = b"".join(map(record, some))
+    assert wal.read_frames(data) == (some, True)
+    for at in range(len(data)):  # a bit that flips, or an end that comes early, ends the reading at its record
+        whole = 0 if at < 10 else 1 if at < 21 else 2
+        flipped = data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :]
+        assert wal.read_frames(flipped) == (some[:whole], False)
+        found, ok = wal.read_frames(data[:at])
+        assert found == some[:whole] and ok == (at in (0, 10, 21))
+    table = spark.createDataFrame([(1, bytearray(data)), (4, bytearray(data[:-1])), (7, bytearray(data)), (10, None)], "start long, data binary")
+    assert sorted(r["lsn"] for r in wal.decode(table).collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r["lsn"] for r in wal.decode(table, "per_segment").collect()) == [1, 2, 3, 4, 5, 7, 8, 9]

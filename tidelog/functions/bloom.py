@@ -13,6 +13,8 @@ from pyspark.sql.types import LongType
 MULTIPLIER, SHIFT, SEED = 0xC6A4A793, 24, 0xBC9F1D3
 ROTATE, LEAST_BITS, MOST_PROBES = 17, 64, 30
 PROBES_PER_BIT = 0.69
+#: Bytes of a filter that are ORed and sent at a time.
+BLOCK_BYTES = 1 << 16
 #: A filter is broadcast up to this many bytes; beyond, the semi join goes without it.
 BROADCAST_BYTES = 64 << 20
 
@@ -64,26 +66,75 @@ def likely(keys: list[bytes], probes: int, bits: bytes) -> np.ndarray:
     return ((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1)
 
 
-def build(keys: DataFrame, col: str, bits_per_key: int, n: int | None = None) -> tuple[int, bytes]:
-    """The filter of a column of bytes, without nulls. Each task ORs its keys' bits before they are shuffled."""
+def set_bits(bits: np.ndarray, keys: list[bytes], probes: int) -> None:
+    if keys:
+        at = positions(bloom_hash(keys), probes, len(bits)).ravel()
+        np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+
+
+def build(keys: DataFrame, col: str, bits_per_key: int, n: int | None = None, block: int = BLOCK_BYTES) -> tuple[int, bytes]:
+    """The filter of a column of bytes, without nulls. Each task ORs its keys' bits; the blocks of bytes that have any are
+    ORed in tasks too, so the driver gets each byte of the filter once."""
     keys = keys.select(F.col(col).cast("binary").alias("k")).where("k IS NOT NULL")
     n = keys.count() if n is None else n
     probes, size = shape(n, bits_per_key)
 
-    def run(batches):
+    def own(batches):
         bits = np.zeros(size, np.uint8)
         for b in batches:
-            some = b.column(0).to_pylist()
-            if some:
-                at = positions(bloom_hash(some), probes, size).ravel()
-                np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-        found = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(bits[found].astype(np.int64))], ["at", "bits"])
-
-    rows = keys.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    bits = np.zeros(size, np.uint8)
-    bits[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return probes, bits.tobytes()
+            set_bits(bits, b.column(0).to_pylist(), probes)
+        for at in range(0, size, block):
+            some = bits[at : at + block]
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([some.tobytes()], pa.binary())], ["at", "bits"])
+
+    def together(batches):
+        held, bits = None, None
+        for b in batches:
+            for at, some in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if at != held:
+                    if held is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["at", "bits"])
+                    held, bits = at, np.zeros(len(some), np.uint8)
+                bits |= np.frombuffer(some, np.uint8)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["at", "bits"])
+
+    rows = keys.mapInArrow(own, "at long, bits binary").repartition("at").sortWithinPartitions("at").mapInArrow(together, "at long, bits binary")
+    bits = bytearray(size)
+    for at, some in rows.toLocalIterator():
+        bits[at : at + len(some)] = some
+    return probes, bytes(bits)
+
+
+def build_each(rows: DataFrame, group: str, col: str, bits_per_key: int, sizes: dict[int, int]) -> DataFrame:
+    """(group, probes, bits): a filter for each group (a long) of rows, of the keys in a column of bytes; sizes has their
+    numbers of keys. A task holds one group's filter at a time."""
+
+    def run(batches):
+        at, probes, bits = None, 0, None
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([probes], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["group", "probes", "bits"])
+
+        for b in batches:
+            numbers = b.column(0).to_numpy(zero_copy_only=False)
+            borders = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+            for i, j in zip(borders, borders[1:], strict=False):
+                if i == j:
+                    continue
+                if numbers[i] != at:
+                    if at is not None:
+                        yield row()
+                    at = int(numbers[i])
+                    probes, size = shape(sizes[at], bits_per_key)
+                    bits = np.zeros(size, np.uint8)
+                set_bits(bits, b.column(1)[i:j].to_pylist(), probes)
+        if at is not None:
+            yield row()
+
+    some = rows.select(F.col(group).cast("long").alias("group"), F.col(col).cast("binary").alias("k")).where("k IS NOT NULL").where(F.col("group").isin([int(g) for g in sizes]) if len(sizes) < 1000 else F.lit(True))
+    return some.repartition("group").sortWithinPartitions("group").mapInArrow(run, "group long, probes int, bits binary")
 
 
 def probe(rows: DataFrame, col: str, probes: int, bits: bytes) -> DataFrame:
@@ -109,7 +160,11 @@ def semi_join(rows: DataFrame, col: str, keys: DataFrame, key_col: str, bits_per
     return rows.join(named, col, "left_semi")
 
 
-@F.udf(LongType(), useArrow=True)
-def bloom_hash_of(key: bytes) -> int | None:
-    """The hash of one key as a column function."""
-    return None if key is None else int(bloom_hash([bytes(key)])[0])
+@F.pandas_udf(LongType())
+def bloom_hash_of(keys: pd.Series) -> pd.Series:
+    """The hashes of keys as a column function."""
+    known = keys.notna()
+    out = pd.Series(None, index=keys.index, dtype="Int64")
+    if known.any():
+        out[known] = bloom_hash([bytes(k) for k in keys[known]]).astype(np.int64)
+    return out

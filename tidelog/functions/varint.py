@@ -30,6 +30,25 @@ def varint_encode(n: Column) -> Column:
     return F.when(size.isNotNull(), F.unhex(F.concat(*parts)))
 
 
+def varint_bytes(n: int) -> bytes:
+    """The bytes of a number from 0 on, of any size."""
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= BITS
+    return bytes((*out, n))
+
+
+def read_varint(data: bytes, at: int) -> tuple[int, int]:
+    """The number that begins at a place of some bytes, and the place after it."""
+    n = 0
+    for i, byte in enumerate(data[at : at + MOST_BYTES]):
+        n |= (byte & 127) << BITS * i
+        if byte < 128:
+            return n, at + i + 1
+    raise ValueError("corrupted varint")
+
+
 @F.pandas_udf(LongType())
 def varint_decode(data: pd.Series) -> pd.Series:
     """The number that begins the bytes; an error if they end before it does, or if it has more than five bytes."""

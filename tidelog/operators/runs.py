@@ -12,12 +12,18 @@ def sorted_run(rows: DataFrame, files: int, key: str = "key", lsn: str = "lsn")
     return rows.repartitionByRange(files, key).sortWithinPartitions(F.col(key), F.col(lsn).desc())
 
 
-def check_order(rows: DataFrame, run: str, key: str, lsn: str, position: str) -> DataFrame:
-    """The rows, unless a run isn't strictly in order by position: equal (key, lsn) count as out of order."""
+def order_flags(rows: DataFrame, run: str, key: str, lsn: str, position: str) -> DataFrame:
+    """rows with out_of_order: whether a record isn't strictly after the one before it; equal (key, lsn) aren't."""
     w = Window.partitionBy(run).orderBy(position)
     before_key, before_lsn = F.lag(key).over(w), F.lag(lsn).over(w)
     ok = before_key.isNull() | (before_key < F.col(key)) | ((before_key == F.col(key)) & (before_lsn > F.col(lsn)))
-    return rows.withColumn("_ok", F.assert_true(ok, F.lit("record out of order"))).where("_ok IS NULL").drop("_ok")
+    return rows.withColumn("out_of_order", ~ok)
+
+
+def check_order(rows: DataFrame, run: str, key: str, lsn: str, position: str) -> DataFrame:
+    """The rows, unless a run isn't strictly in order by position."""
+    flagged = order_flags(rows, run, key, lsn, position)
+    return flagged.withColumn("_ok", F.assert_true(~F.col("out_of_order"), F.lit("record out of order"))).where("_ok IS NULL").drop("_ok", "out_of_order")
 
 
 def prefix_delta(rows: DataFrame, run: str, key: str, tie: str) -> DataFrame:

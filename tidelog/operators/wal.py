@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,3 +81,44 @@ def intact(record: Column) -> Column:
     n = F.octet_length(record)
     payload = F.substring(record, 7, n - FRAME_BYTES)
     return F.coalesce((n >= FRAME_BYTES) & (record == frame(payload)), F.lit(False))
+
+
+def read_frames(data: bytes) -> tuple[list[bytes], bool]:
+    """Payloads of the records at the beginning of a segment's bytes, and whether all of it could be read.
+
+    What isn't a record, whole and with the right checksum, ends the segment: nothing after it can be trusted.
+    """
+    found, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at + 2 : at + 6], "little")
+        end = at + FRAME_BYTES + n
+        payload = data[at + 6 : at + 6 + n]
+        if end > len(data) or data[at] != MAGIC or data[at + 1] != TYPE or zlib.crc32(payload) != int.from_bytes(data[end - 4 : end], "little"):
+            return found, False
+        found.append(payload)
+        at = end
+    return found, True
+
+
+def decode(segments: DataFrame, mode: str = "global") -> DataFrame:
+    """(start, lsn, payload) of framed segments (start, data): LSNs go on from a segment's start.
+
+    Corruption ends its segment (per_segment), or the log from there on (global); a null data is an empty segment. A task holds
+    one segment's bytes at a time.
+    """
+    if mode not in ("global", "per_segment"):
+        raise ValueError(f"mode is global or per_segment, not {mode!r}")
+
+    def run(batches):
+        for b in batches:
+            for start, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found, whole = read_frames(data.as_py() or b"")
+                if not whole:  # where reading stopped, told by a record without payload
+                    found.append(None)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([start] * len(found), pa.int64()), pa.array(range(start, start + len(found)), pa.int64()), pa.array(found, pa.binary()), pa.array([x is None for x in found])], ["start", "lsn", "payload", "bad"])
+
+    rows = segments.select(F.col("start").cast("long").alias("start"), "data").mapInArrow(run, "start long, lsn long, payload binary, bad boolean")
+    if mode == "per_segment":
+        return rows.where("NOT bad").drop("bad")
+    return readable(rows, F.col("bad"), "global").drop("bad")

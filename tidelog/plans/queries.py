@@ -145,7 +145,7 @@ def wal_segments(spark, sf_dir):
 
 @query()
 def wal_crc(spark, sf_dir):
-    """DuckDB has no CRC-32; the known values are in the tests."""
+    """Records with their checksums; the SQL, which folds bytes by a table, is beside the other queries of bytes."""
     payload = F.col("props").cast("binary")
     return table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("lsn"), F.crc32(payload).alias("crc"), F.hex(wal.frame(payload)).alias("record"), wal.intact(wal.frame(payload)).alias("is_intact"))
 

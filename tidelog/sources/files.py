@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder under spark.checkpoint.dir; only a local master may go without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/tidelog"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str):
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -48,6 +61,15 @@ class Files:
             out[i] = v
         return out
 
+    def rename(self, name: str, to: str) -> None:
+        """Moves a file or folder; an error if there is one of the new name."""
+        target = self._path(to)
+        if self._fs.exists(target):
+            raise FileExistsError(to)
+        self._fs.mkdirs(target.getParent())
+        if not self._fs.rename(self._path(name), target):
+            raise OSError(f"{name} can't be renamed to {to}")
+
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(name))
 

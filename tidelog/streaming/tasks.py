@@ -9,6 +9,8 @@ from collections.abc import Callable
 class BackgroundTask:
     """Calls should_run again and again; it answers True, or the seconds after which to ask again; True runs run().
 
+    None and False ask again only when check_should_run() says so, 0 at once.
+
     The first error ends the task and stop() raises it. stop() waits for the end.
     """
 
@@ -25,7 +27,7 @@ class BackgroundTask:
                 if answer is True:
                     self._run()
                 else:
-                    self._wake.wait(answer or None)
+                    self._wake.wait(None if answer is None or answer is False else answer)
                     self._wake.clear()
         except BaseException as e:  # noqa: BLE001
             self._error = e
@@ -38,6 +40,10 @@ class BackgroundTask:
     def failed(self) -> bool:
         return self._error is not None
 
+    def join(self, seconds: float) -> None:
+        """Waits for the task's end, but no longer than that."""
+        self._thread.join(seconds)
+
     def stop(self) -> None:
         self._stop.set()
         self._wake.set()
