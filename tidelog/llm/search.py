@@ -26,7 +26,7 @@ from tidelog.llm.common import discard, map_arrow, shared_dir, staged
 TERM = re.compile(r"\w+")
 K1, B, UNIT = 1.2, 0.75, 1_000_000
 #: Documents of a shard, about, and of a block of it.
-SHARD, BLOCK = 16_384, 64
+SHARD, BLOCK = 8_192, 64
 #: Blocks that are scored for a first threshold, and pivots of the first window; each window is twice the one before.
 FIRST, PIVOTS = 4, 8
 #: Queries that meet the shards in one job, about, and words of them: what is broadcast at a time.
@@ -76,7 +76,7 @@ def index_of(ids: list[int | None], bags: list[tuple[np.ndarray, np.ndarray]], l
     term = term[by_term]
     start = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(bags[i][0]) for i in order])[by_term]
-    tf = np.concatenate([*(bags[i][1] for i in order), np.zeros(0, np.int64)])[by_term]
+    tf = np.concatenate([*(bags[i][1] for i in order), np.zeros(0, np.uint32)])[by_term]
     found = {"ids": [ids[i] or 0 for i in order], "named": [ids[i] is not None for i in order], "length": [length[i] for i in order], "term": term[start], "start": np.append(start, len(term)), "doc": doc, "tf": tf}
     return {name: np.asarray(x).astype(INDEX[name]) for name, x in found.items()}
 
@@ -86,12 +86,14 @@ class Shard:
 
     def __init__(self, index: dict[str, np.ndarray], documents: int, mean: float):
         self.ids, self.named, self.term, self.start = (index[n] for n in ("ids", "named", "term", "start"))
-        self.documents, self.n, self.doc = documents, len(self.ids), index["doc"].astype(np.int64)
+        self.documents, self.n, self.doc = documents, len(self.ids), index["doc"]
         norm = K1 * (1 - B + B * index["length"] / (mean or 1))
         tf = index["tf"].astype(np.float64)
         #: A posting's score is its part times the term's idf.
-        self.part = tf * (K1 + 1) / (tf + norm[self.doc])
-        block = self.doc // BLOCK
+        self.part = tf + norm[self.doc]
+        np.divide(np.multiply(tf, K1 + 1, out=tf), self.part, out=self.part)
+        del tf
+        block = self.doc // np.uint32(BLOCK)
         first = np.append(True, block[1:] != block[:-1])[: len(block)]
         first[self.start[:-1]] = True
         #: Entries of lists: the first posting, the block and the largest part of each block that a list has any of.
