@@ -27,8 +27,8 @@ TERM = re.compile(r"\w+")
 K1, B, UNIT = 1.2, 0.75, 1_000_000
 #: Documents of a shard, about, and of a block of it.
 SHARD, BLOCK = 8_192, 64
-#: Blocks that are scored for a first threshold, and pivots of the first window; each window is twice the one before.
-FIRST, PIVOTS = 4, 8
+#: Blocks that are scored for a first threshold, and pivots of the first window; each window is four times the one before.
+FIRST, PIVOTS = 4, 16
 #: Queries that meet the shards in one job, about, and words of them: what is broadcast at a time.
 QUERIES, QUERY_WORDS = 512, 400_000
 #: Words of which a worker remembers the hash.
@@ -82,70 +82,78 @@ def index_of(ids: list[int | None], bags: list[tuple[np.ndarray, np.ndarray]], l
 
 
 class Shard:
-    """An index with its block maxima, which answers one query after another."""
-
-    def __init__(self, index: dict[str, np.ndarray], documents: int, mean: float):
-        self.ids, self.named, self.term, self.start = (index[n] for n in ("ids", "named", "term", "start"))
-        self.documents, self.n, self.doc = documents, len(self.ids), index["doc"]
+    """An index with the scores and block maxima of some terms, those of a block of queries, which it answers one by one."""
+
+    def __init__(self, index: dict[str, np.ndarray], documents: int, mean: float, term: np.ndarray, df: np.ndarray):
+        """term (ascending) and df are those of all queries to come."""
+        self.ids, self.named = index["ids"], index["named"]
+        self.n, self.blocks, start = len(self.ids), -(-len(self.ids) // BLOCK), index["start"]
+        #: Of the terms asked for, those that the shard has; their lists are all that is kept.
+        at = np.minimum(np.searchsorted(index["term"], term), max(len(index["term"]) - 1, 0))
+        known = index["term"][at] == term if len(index["term"]) else np.zeros(len(term), bool)
+        at, df, self.term = at[known], df[known].astype(np.float64), term[known]
+        size = start[at + 1] - start[at]
+        posting = ranges(start[at], start[at + 1])
+        self.start = np.append(0, np.cumsum(size))
+        self.doc, tf = index["doc"][posting].astype(np.int64), index["tf"][posting].astype(np.float64)
         norm = K1 * (1 - B + B * index["length"] / (mean or 1))
-        tf = index["tf"].astype(np.float64)
-        #: A posting's score is its part times the term's idf.
-        self.part = tf + norm[self.doc]
-        np.divide(np.multiply(tf, K1 + 1, out=tf), self.part, out=self.part)
-        del tf
-        block = self.doc // np.uint32(BLOCK)
+        idf = UNIT * np.log(1 + (documents - df + 0.5) / (df + 0.5))
+        #: Scores of postings, in whole millionths: below 2**53, so sums of them are exact.
+        self.score = np.rint(np.repeat(idf, size) * (tf * (K1 + 1) / (tf + norm[self.doc])))
+        block = self.doc // BLOCK
         first = np.append(True, block[1:] != block[:-1])[: len(block)]
         first[self.start[:-1]] = True
-        #: Entries of lists: the first posting, the block and the largest part of each block that a list has any of.
+        #: Entries of lists: the first posting, the block and the largest score of each block that a list has any of.
         self.entry = np.append(np.flatnonzero(first), len(block))
         self.block = block[self.entry[:-1]]
-        self.most = np.maximum.reduceat(self.part, self.entry[:-1]) if len(block) else self.part
+        self.most = np.maximum.reduceat(self.score, self.entry[:-1]) if len(block) else self.score
         self.first_entry = np.searchsorted(self.entry, self.start)
-        self.blocks = -(-self.n // BLOCK)
         #: Postings that were scored, of how many in the lists of the queries so far.
         self.scored = self.listed = 0
 
-    def top(self, term: np.ndarray, df: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def top(self, term: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best documents with a positive score; of equal scores the smaller ids."""
-        score = np.zeros(self.n, np.int64)
+        score = np.zeros(self.n)
         if len(self.term) and k > 0:
             at = np.minimum(np.searchsorted(self.term, term), len(self.term) - 1)
-            known = self.term[at] == term
-            at, df = at[known], df[known].astype(np.float64)
-            idf = UNIT * np.log(1 + (self.documents - df + 0.5) / (df + 0.5))
+            at = at[self.term[at] == term]
             self.listed += int((self.start[at + 1] - self.start[at]).sum())
-            self.wand(at, idf, k, score)
-        best = np.flatnonzero(score)
+            threshold = self.wand(at, k, score)
+            best = np.flatnonzero(score >= threshold)
+        else:
+            best = np.zeros(0, int)
         best = best[np.lexsort((self.ids[best], -score[best]))[:k]]
-        return self.ids[best], score[best]
+        return self.ids[best], score[best].astype(np.int64)
 
-    def wand(self, at: np.ndarray, idf: np.ndarray, k: int, score: np.ndarray) -> None:
-        """Scores of all documents that may be among the k best; others have 0 or their score."""
+    def wand(self, at: np.ndarray, k: int, score: np.ndarray) -> float:
+        """Puts in the scores of all documents that may be among the k best; the last threshold, which these reach."""
         entry = ranges(self.first_entry[at], self.first_entry[at + 1])
-        idf = np.repeat(idf, self.first_entry[at + 1] - self.first_entry[at])
         block = self.block[entry]
-        # Whole numbers below 2**53, so these sums of floats are exact.
-        bound = np.bincount(block, np.rint(idf * self.most[entry]), self.blocks)
+        bound = np.bincount(block, self.most[entry], self.blocks)
 
-        def evaluate(pivots: np.ndarray) -> int:
+        def evaluate(pivots: np.ndarray) -> float:
             """Scores the documents of some blocks; the threshold after that."""
             chosen = np.zeros(self.blocks, bool)
             chosen[pivots] = True
-            some = np.flatnonzero(chosen[block])
-            start, end = self.entry[entry[some]], self.entry[entry[some] + 1]
-            posting = ranges(start, end)
-            self.scored += len(posting)
-            found = np.bincount(self.doc[posting], np.rint(np.repeat(idf[some], end - start) * self.part[posting]), self.n).astype(np.int64)
+            some = entry[chosen[block]]
+            # Entries that follow each other are one stretch of postings.
+            last = np.append(some[1:] != some[:-1] + 1, True)[: len(some)]
+            first = np.append(True, last[:-1])[: len(some)]
+            posting = ranges(self.entry[some[first]], self.entry[some[last] + 1])
+            doc, value = self.doc[posting], self.score[posting]
+            self.scored += len(doc)
+            found = np.bincount(doc, value, self.n)
             found[~self.named] = 0
             np.add(score, found, out=score)
             bound[pivots] = -1
-            return max(1, int(np.partition(score, -k)[-k])) if self.n >= k else 1
+            return max(1.0, np.partition(score, -k)[-k]) if self.n >= k else 1.0
 
         threshold = evaluate(np.argpartition(-bound, FIRST)[:FIRST] if FIRST < self.blocks else np.arange(self.blocks))
         cursor, width = 0, PIVOTS
         while len(pivots := cursor + np.flatnonzero(bound[cursor:] >= threshold)[:width]):
             threshold = evaluate(pivots)
-            cursor, width = int(pivots[-1]) + 1, width * 2
+            cursor, width = int(pivots[-1]) + 1, width * 4
+        return threshold
 
 
 def build(docs: DataFrame, shard: int) -> DataFrame:
@@ -220,11 +228,12 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD)
 
     def answer(block):
         def run(batches):
+            asked, term, df = block.value
             for b in batches:
                 for row in b.to_pylist():
-                    shard, out = Shard({n: np.frombuffer(row[n], kind) for n, kind in INDEX.items()}, documents, mean), []
-                    for query_id, term, df in block.value:
-                        found, score = shard.top(term, df, k)
+                    shard, out = Shard({n: np.frombuffer(row[n], kind) for n, kind in INDEX.items()}, documents, mean, term, df), []
+                    for query_id, some in asked:
+                        found, score = shard.top(some, k)
                         out.append((np.full(len(found), query_id), found, score))
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["query_id", "doc_id", "micro"])
@@ -235,7 +244,10 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("micro").desc(), "doc_id"))
     for number in range(blocks):
         some = words.where(F.pmod("h", F.lit(blocks)) == number).select("query_id", "term", "df").collect()
-        block = docs.sparkSession.sparkContext.broadcast([(q, np.array(t, np.int64), np.array(n, np.int64)) for q, t, n in some])
+        asked = [(q, np.array(t, np.int64)) for q, t, _ in some]
+        every, at = np.unique(np.concatenate([t for _, t in asked] or [np.zeros(0, np.int64)]), return_index=True)
+        held = np.concatenate([np.array(n, np.int64) for _, _, n in some] or [np.zeros(0, np.int64)])
+        block = docs.sparkSession.sparkContext.broadcast((asked, every, held[at]))
         found = map_arrow(index, answer(block), kind)
         found.withColumn("rank", rank).where(F.col("rank") <= k).write.mode("append").parquet(path)
         block.unpersist()
