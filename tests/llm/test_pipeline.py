@@ -32,7 +32,10 @@ def test_stages_against_their_operators(spark, sf_dir):
 def test_odd_rows(spark, sf_dir, odd):
     for _, stage in corpus_pipeline.STAGES[:3]:
         out = stage(spark, odd, sf_dir)
-        assert out.columns == corpus_pipeline.COLUMNS
+        assert out.columns == odd.columns
         assert stage(spark, odd.limit(0), sf_dir).count() == 0
     assert corpus_pipeline.dedup_stage(spark, odd, sf_dir).count() == odd.count() - 1
     assert {r["doc_id"] for r in corpus_pipeline.language_stage(spark, odd, sf_dir).collect()} == set()
+    packed = corpus_pipeline.packing_stage(spark, odd.drop("source", "n_chars", "lang"), sf_dir)
+    assert packed.count() == odd.count() and {r["padding"] for r in packed.where("padding < 0").collect()} == set()
+    assert corpus_pipeline.packing_stage(spark, odd.limit(0), sf_dir).count() == 0

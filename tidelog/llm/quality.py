@@ -22,7 +22,7 @@ from tidelog.llm.common import KEY_BITS, kth_largest, map_arrow, staged, with_id
 WORDS, PAIRS = 1 << 10, 1 << 10
 #: The target model is smoothed by the corpus's own: it is a part MIX of the mixture, and counts as PRIOR features beside those
 #: of the target's texts, so that a target of few texts says little against what it doesn't hold.
-MIX, PRIOR = 0.3, 1 << 17
+MIX, PRIOR = 0.6, 1 << 11
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Words of which a worker remembers the hash.
 MEMO = 100_000
