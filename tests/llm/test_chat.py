@@ -54,3 +54,11 @@ def test_no_python_in_the_plan(spark):
 
 def test_sql(against_sql):
     against_sql(QUERIES["op7_snapshot_collapse"], ORACLE_SQL["op7_snapshot_collapse"])
+
+
+def test_most_conversations_are_copies(spark):
+    rows = [(c, t, "user", f"turn {t}") for c in range(300) for t in range(3 if c % 3 else 4 if c == 0 else 2)]
+    got = chat.collapse(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    assert [(r["conv_id"], r["n_turns"]) for r in got] == [(0, 4)]
+    got = chat.collapse(spark.createDataFrame(rows[4:], "conv_id long, turn int, role string, text string")).collect()
+    assert [(r["conv_id"], r["n_turns"]) for r in got] == [(1, 3)]

@@ -37,8 +37,9 @@ def collapse(conversations: DataFrame) -> DataFrame:
     whole = whole.select("conv_id", F.col("end.place").alias("n_turns"), F.col("end.h1").alias("h1"), F.col("end.h2").alias("h2"), F.array_join(F.col("turns.said"), "").alias("rendered"))
     longest = Window.partitionBy("conv_id")
     begins = turns.withColumn("n", F.count("*").over(longest)).where("place < n").groupBy(F.col("place").alias("n_turns"), "h1", "h2").agg(F.lit(1).alias("_"))
-    kept = whole.join(begins, ["n_turns", "h1", "h2"], "left_anti")
-    return kept.groupBy("n_turns", "h1", "h2").agg(F.min(F.struct("conv_id", "rendered")).alias("first")).select("first.conv_id", "n_turns", "first.rendered")
+    # One row of each group of copies before the anti-join, which then has no hot key.
+    first = whole.groupBy("n_turns", "h1", "h2").agg(F.min(F.struct("conv_id", "rendered")).alias("first"))
+    return first.join(begins, ["n_turns", "h1", "h2"], "left_anti").select("first.conv_id", "n_turns", "first.rendered")
 
 
 #: The same result by comparing the conversations themselves.
