@@ -78,3 +78,9 @@ def test_what_is_wrong_says_so(spark, tmp_path):
 
 def test_sql(against_sql):
     against_sql(QUERIES["op6_warc_segments"], ORACLE_SQL["op6_warc_segments"])
+
+
+def test_most_pages_share_a_payload(spark):
+    rows = [(i, "u", ("a" * 1000 if i % 3 else "" if i % 2 else "b" * 1001)) for i in range(2000)]
+    got = warc.round_trip(spark.createDataFrame(rows, KIND))
+    assert sorted(map(tuple, got.collect()), key=repr) == expected(rows)

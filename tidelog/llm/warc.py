@@ -22,6 +22,12 @@ CRLF = "\r\n"
 HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 #: Payloads from this many bytes on may be revisits of equal ones.
 REVISIT_BYTES = 1000
+#: Rows that share a payload are dealt to so many tasks by their ids, however many they are.
+SALTS = 1024
+
+
+def salt(id_: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(SALTS)).cast("int")
 
 
 def chunked(payload: Column, size: int) -> Column:
@@ -38,13 +44,17 @@ def chunked(payload: Column, size: int) -> Column:
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): which pages repeat the payload of a page with a larger id."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
-    large = rows.where(F.octet_length("payload") >= REVISIT_BYTES).select("page_id", "digest")
-    latest = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").select("digest", "refers_to")
-    again = large.join(latest, "digest").where("page_id IS NULL OR page_id < refers_to").groupBy(F.col("page_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.first("refers_to").alias("refers_to"))
-    same = rows["page_id"].eqNullSafe(again["_id"]) & (rows["digest"] == again["_digest"])
-    return rows.join(again, same, "left").drop("_id", "_digest")
+    """(page_id, url, payload, digest, refers_to): which pages repeat the payload of a page with a larger id.
+
+    A digest's rows meet by salt, and the salts that it has, SALTS at most, bring its largest id to each.
+    """
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("_salt", salt(F.col("page_id")))
+    large = F.octet_length("payload") >= REVISIT_BYTES
+    by_salt = rows.where(large).groupBy("digest", "_salt").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n"))
+    latest = by_salt.groupBy("digest").agg(F.max("_last").alias("_last"), F.sum("_n").alias("_n"), F.collect_list("_salt").alias("_salts")).where("_n > 1 AND _last IS NOT NULL")
+    rows = rows.join(latest.select("digest", F.explode("_salts").alias("_salt"), "_last"), ["digest", "_salt"], "left")
+    again = F.col("page_id").isNull() | (F.col("page_id") < F.col("_last"))
+    return rows.select("page_id", "url", "payload", "digest", F.when(again, F.col("_last")).alias("refers_to"))
 
 
 def record_id(page_id: Column, digest: Column) -> Column:
@@ -244,7 +254,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
     page = lambda c: F.nullif(F.split_part(F.col(c), F.lit(":"), F.lit(3)), F.lit("null")).cast("long")
     said = found.where("type = 'response'").groupBy(F.col("record_id").alias("_origin")).agg(F.max("payload_bytes").alias("_bytes"), F.max("payload_sha1").alias("_sha1"))
     rows = found.where("type = 'response'").withColumn("_bytes", F.col("payload_bytes")).withColumn("_sha1", F.col("payload_sha1"))
-    again = found.where("type = 'revisit'").join(said, F.col("refers_to") == F.col("_origin"), "left").drop("_origin")
+    again = found.where("type = 'revisit'").withColumn("_salt", salt(F.col("record_id")))
+    # What a response says goes to each salt of its revisits, and they fetch it there: one response may have a third of all rows.
+    told = again.select("refers_to", "_salt").distinct().join(said, F.col("refers_to") == F.col("_origin")).drop("_origin")
+    again = again.join(told, ["refers_to", "_salt"], "left").select(*found.columns, "_bytes", "_sha1")
     both = rows.unionByName(again)
     status = F.when(F.col("status") != "ok", F.col("status")).when(F.col("_sha1") == F.col("digest"), "ok").otherwise("digest_mismatch")
     return both.select(page("record_id").alias("page_id"), F.col("_bytes").alias("payload_bytes"), F.col("_sha1").alias("payload_digest"), F.col("type").alias("record_type"), page("refers_to").alias("refers_to"), status.alias("status"))
