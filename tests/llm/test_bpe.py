@@ -1,3 +1,4 @@
+import gc
 import hashlib
 import random
 
@@ -97,6 +98,14 @@ def test_encode_and_decode(odd):
     assert sorted(((r["doc_id"], r["text"]) for r in back), key=repr) == sorted(((r["doc_id"], r["text"] or "") for r in odd.collect()), key=repr)
 
 
+def test_the_collector_runs_again_afterwards():
+    assert gc.isenabled()
+    with pytest.raises(KeyError), bpe.no_collector():
+        assert not gc.isenabled()
+        raise KeyError
+    assert gc.isenabled()
+
+
 def test_ranks_that_are_no_bpe():
     with pytest.raises(ValueError):
         bpe.Transducer({b"a": 0, b"b": 1, b"abc": 2})

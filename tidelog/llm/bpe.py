@@ -13,11 +13,13 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from tidelog.llm.common import map_arrow, with_id
@@ -226,6 +228,7 @@ class Codec:
         ranks = load_ranks(rank_file)
         self.fst, self.find = Transducer(ranks), regex.compile(pattern).findall
         self.token_bytes = [self.fst.bytes_of.get(i, b"") for i in range(max(ranks.values()) + 1)]
+        self.decimal = [str(i) for i in range(len(self.token_bytes))]
         self.before: dict[str, tuple[int, ...]] = {}
         codec = self
 
@@ -270,35 +273,54 @@ def codec(rank_file: bytes, pattern: str) -> Codec:
     """One codec per worker process: its tables fill as it goes and serve the later tasks."""
     key = hashlib.sha256(rank_file).digest(), pattern
     if key not in _codecs:
-        gc.disable()  # else it walks the tables again and again; they hold no cycles that aren't broken by hand
         _codecs[key] = Codec(rank_file, pattern)
     return _codecs[key]
 
 
+@contextmanager
+def no_collector():
+    """Stops the cycle collector, which would walk the growing tables again and again; they hold no cycles that aren't broken by hand."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def with_codec(run: Callable, ranks: Broadcast, pattern: str) -> Callable:
+    """A function of Arrow batches from run(codec, batch), without the collector while it lasts."""
+
+    def batches_of(batches):
+        with no_collector():
+            c = codec(ranks.value, pattern)
+            for b in batches:
+                yield run(c, b)
+
+    return batches_of
+
+
 def encode(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>): the tokens of each text. A null text is empty and has no tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(rank_file)
 
-    def run(batches):
-        c = codec(shared.value, pattern)
-        for b in batches:
-            ids = [[i for part in c.encode(t or "") for i in part] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+    def run(c, b):
+        ids = [[i for part in c.encode(t or "") for i in part] for t in b.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
-    return map_arrow(docs.select(id_col, text_col), run, with_id(docs, id_col, "ids array<int>")).withColumnRenamed("id", id_col)
+    return map_arrow(docs.select(id_col, text_col), with_codec(run, shared, pattern), with_id(docs, id_col, "ids array<int>")).withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text): the text of each array of ids; bytes that are no UTF-8 become U+FFFD. A null array gives an empty text."""
     shared = tokens.sparkSession.sparkContext.broadcast(rank_file)
 
-    def run(batches):
-        c = codec(shared.value, pattern)
-        for b in batches:
-            text = ["".join(c.decode(iter([i or []]))) for i in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], ["id", "text"])
+    def run(c, b):
+        text = ["".join(c.decode(iter([i or []]))) for i in b.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], ["id", "text"])
 
-    return map_arrow(tokens.select(id_col, ids_col), run, with_id(tokens, id_col, "text string")).withColumnRenamed("id", id_col)
+    return map_arrow(tokens.select(id_col, ids_col), with_codec(run, shared, pattern), with_id(tokens, id_col, "text string")).withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
@@ -308,22 +330,19 @@ def round_trip(docs: DataFrame, rank_file: bytes, pattern: str) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(rank_file)
 
-    def run(batches):
-        c = codec(shared.value, pattern)
-        decimal = [str(i) for i in range(len(c.token_bytes))].__getitem__
-        for b in batches:
-            n, sent, back = [], [], []
-            for text in b.column(1).to_pylist():
-                count, ids_sha, text_sha, stream = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream()
-                for ids in c.encode(text or ""):
-                    if ids:
-                        ids_sha.update(((" " if count else "") + " ".join(map(decimal, ids))).encode())
-                        count += len(ids)
-                        text_sha.update(stream.feed(b"".join(map(c.token_bytes.__getitem__, ids))).encode())
-                text_sha.update(stream.close().encode())
-                n.append(count)
-                sent.append(ids_sha.hexdigest())
-                back.append(text_sha.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sent), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(c, b):
+        n, sent, back = [], [], []
+        for text in b.column(1).to_pylist():
+            count, ids_sha, text_sha, stream = 0, hashlib.sha256(), hashlib.sha256(), Utf8Stream()
+            for ids in c.encode(text or ""):
+                if ids:
+                    ids_sha.update(((" " if count else "") + " ".join(map(c.decimal.__getitem__, ids))).encode())
+                    count += len(ids)
+                    text_sha.update(stream.feed(b"".join(map(c.token_bytes.__getitem__, ids))).encode())
+            text_sha.update(stream.close().encode())
+            n.append(count)
+            sent.append(ids_sha.hexdigest())
+            back.append(text_sha.hexdigest())
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sent), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return map_arrow(docs.select("doc_id", "text"), with_codec(run, shared, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
