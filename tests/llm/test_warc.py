@@ -84,3 +84,10 @@ def test_most_pages_share_a_payload(spark):
     rows = [(i, "u", ("a" * 1000 if i % 3 else "" if i % 2 else "b" * 1001)) for i in range(2000)]
     got = warc.round_trip(spark.createDataFrame(rows, KIND))
     assert sorted(map(tuple, got.collect()), key=repr) == expected(rows)
+
+
+def test_copies_of_a_segmented_record_are_counted(spark):
+    page = "".join(f"<p>{i}</p>" for i in range(4000))
+    rows = [(7, "u", page)] * 400 + [(8, "v", "c" * 40_000), (8, "v", "d" * 40_000)]
+    got = warc.round_trip(spark.createDataFrame(rows, KIND))
+    assert sorted(map(tuple, got.collect()), key=repr) == expected(rows)

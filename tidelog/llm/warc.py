@@ -197,12 +197,13 @@ def reassemble(segments: DataFrame, keep_payload: bool = True) -> DataFrame:
 
     Segments are dealt by origin and sorted by number, and a task holds those of one record at a time; records that came
     whole bring no block with them. Segments that come several times with equal bytes are copies of one record, which comes
-    as often as its first segment. status is ok, missing_segment, length_mismatch (against the total length) or
+    as often as its first segment; of different bytes for one number the largest counts. status is ok, missing_segment, length_mismatch (against the total length) or
     bad_chunks; the payload is null unless ok.
     """
 
     def whole(parts):
-        first, copies = parts[0], sum(p["segment"] == 1 for p in parts)
+        """A record's row, and how often it came."""
+        first, copies = parts[0], sum(p["copies"] for p in parts if p["segment"] == 1)
         by_number = {p["segment"]: p for p in parts}
         blocks = [by_number[k]["block"] for k in sorted(by_number)]
         total = max((p["total"] for p in parts if p["total"] is not None), default=None)
@@ -213,29 +214,39 @@ def reassemble(segments: DataFrame, keep_payload: bool = True) -> DataFrame:
             end = "length_mismatch", None, None, None
         else:
             end = finished(head, b"".join(blocks), keep_payload)
-        return [(first["record_id"], *head, *end)] * max(1, copies)
+        return (first["record_id"], *head, *end), max(1, copies)
 
-    def run(batches):
-        held, out, size = [], [], 0
+    def found_in(batches):
+        held = []
         for b in batches:
             for row in b.to_pylist():
                 if held and row["record_id"] != held[0]["record_id"]:
-                    out += whole(held)
+                    yield whole(held)
                     held = []
-                if row["status"] is None:
-                    held.append(row)
-                    size += len(row["block"])
+                if row["status"] is not None:
+                    yield tuple(row[n] for n, _ in RECORD), 1
+                elif held and (row["segment"], row["block"]) == (held[-1]["segment"], held[-1]["block"]):
+                    # A copy is counted, not held: one record may come any number of times.
+                    held[-1]["copies"] += 1
+                    held[-1]["total"] = row["total"] if held[-1]["total"] is None else held[-1]["total"]
                 else:
-                    out.append(tuple(row[n] for n, _ in RECORD))
-                    size += len(row["payload"] or b"")
-                if len(out) >= 5000 or out and size > 1 << 25:
+                    held.append({**row, "copies": 1})
+        if held:
+            yield whole(held)
+
+    def run(batches):
+        out, size = [], 0
+        for row, copies in found_in(batches):
+            for _ in range(copies):
+                out.append(row)
+                size += len(row[-1] or b"")
+                if len(out) >= 5000 or size > 1 << 25:
                     yield batch_of(out, RECORD)
                     out, size = [], 0
-        out += whole(held) if held else []
         if out:
             yield batch_of(out, RECORD)
 
-    dealt = segments.repartition("record_id").sortWithinPartitions("record_id", "segment")
+    dealt = segments.repartition("record_id").sortWithinPartitions("record_id", "segment", "block")
     found = map_arrow(dealt, run, RECORD_DDL)
     return found if keep_payload else found.drop("payload")
 
