@@ -1,39 +1,16 @@
 import random
-import re
 
 import numpy as np
 import pytest
+from brute_force import components, shingle_set
 
 from tidelog.llm import dedup
 
 
-def shingle_set(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
-
-
-def brute(rows):
-    """component by id, over all pairs."""
-    sets = [(i, shingle_set(t)) for i, t in rows if i is not None]
-    least = {i: i for i, _ in sets}
-
-    def find(i):
-        while least[i] != i:
-            i = least[i]
-        return i
-
-    for x, (i, a) in enumerate(sets):
-        for j, b in sets[:x]:
-            if a and b and 100 * len(a & b) >= 75 * len(a | b):
-                p, q = find(i), find(j)
-                least[max(p, q)] = min(p, q)
-    return {i: find(i) for i in least}
-
-
 def check(docs, rows):
     got = dedup.near_duplicates(docs(rows)).collect()
     assert len(got) == len(rows)
-    want = brute(rows)
+    want = components(rows)
     sizes = {}
     for i, t in rows:
         sizes.setdefault(i, set()).add(len(shingle_set(t)))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from brute_force import held_out, languages
 from pyspark.sql import functions as F
 
 from tidelog.llm import langid
@@ -72,6 +73,18 @@ def test_odd_rows(odd, model):
     assert nothing[0] == [] and {r["lang_pred"] for r in langid.predict(odd, *nothing).collect()} == {"und"}
 
 
+def test_the_whole_query_by_brute_force(spark, sf_dir):
+    """Trigrams counted and proportions estimated one by one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = languages(docs.select("doc_id", "text", "lang").collect())
+    rows = QUERIES["op10_language_mixture"](spark, sf_dir).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        lang, score = want[r["doc_id"]]
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-3, r
+        assert r["held_out"] == held_out(r["doc_id"])
+
+
 def test_held_out_accuracy(spark):
     sf_dir = "/root/testdata/sf0.01"
     got = QUERIES["op10_language_mixture"](spark, sf_dir)

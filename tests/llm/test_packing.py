@@ -2,9 +2,10 @@ import random
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import functions as F
+from brute_force import least_padding, words
 
 from tidelog.llm import packing
+from tidelog.llm.queries import QUERIES
 
 
 def padding(tops, lengths, counts):
@@ -23,14 +24,6 @@ def test_boundaries_are_optimal():
     assert packing.boundaries(np.zeros(0), np.zeros(0), 3) == []
 
 
-def test_bins_hold_their_lengths(spark):
-    some = [0, 1, 4096, 4097, 5000, 8191, 8192, 8193, 100_000, 123_457, 10_000_001]
-    rows = spark.createDataFrame([(n,) for n in some], "n_tokens long").select("n_tokens", packing.bin_top(F.col("n_tokens")).alias("top")).collect()
-    for n, top in rows:
-        assert n <= top <= n + n // 256
-        assert n > packing.EXACT or top == n
-
-
 def check(rows, table, buckets, budget):
     assert len(rows) == table.count()
     tops = sorted({r["bucket_len"] for r in rows})
@@ -63,6 +56,15 @@ def test_long_texts_waste_least(docs):
     assert sum(r["padding"] for r in rows) == best and {r["bucket_len"] for r in rows} <= set(lengths)
 
 
+def test_the_whole_query_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = QUERIES["op3_length_buckets"](spark, sf_dir).collect()
+    check(rows, docs, 8, 65_536)
+    n = {r["doc_id"]: len(words(r["text"])) for r in docs.collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == n
+    assert sum(r["padding"] for r in rows) == least_padding(list(n.values()), 8)
+
+
 def test_many_lengths_as_by_all_splits():
     rnd = np.random.default_rng(2)
     lengths, counts = np.sort(rnd.choice(9000, 300, replace=False)), rnd.integers(1, 50, 300)

@@ -1,4 +1,7 @@
 import corpus_pipeline
+from brute_force import components, expected_number, languages, least_padding, quality_weights, words
+from pyspark.sql import functions as F
+
 from tidelog.llm import dedup, langid, packing, quality
 
 
@@ -29,6 +32,22 @@ def test_stages_against_their_operators(spark, sf_dir):
     assert rows(stages["packing"](spark, single, sf_dir)) == rows(packing.pack(single)) == rows(corpus_pipeline.run(spark, sf_dir))
 
 
+def test_the_whole_pipeline_by_brute_force(spark, sf_dir):
+    """Each stage by plain loops over what the one before it left; only the Gumbel draw is the operator's."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    noise = dict(map(tuple, docs.select("doc_id", quality.gumbel_noise(F.col("doc_id"), 17)).collect()))
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    good = {r[0] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()}
+    weight = quality_weights({i: r["text"] for i, r in rows.items()}, good)
+    rows = {i: rows[i] for i in sorted(rows, key=lambda i: -weight[i] - noise[i])[: expected_number(weight)]}
+    found = languages([tuple(r) for r in rows.values()])
+    rows = {i: r for i, r in rows.items() if found[i][0] != "und" and found[i][1] >= corpus_pipeline.LEAST_SHARE}
+    rows = {i: rows[i] for i, least in components([(i, r["text"]) for i, r in rows.items()]).items() if i == least}
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(words(r["text"])) for i, r in rows.items()} and len(got) == len(rows)
+    assert sum(r["padding"] for r in got) == least_padding([r["n_tokens"] for r in got], 8)
+
+
 def test_odd_rows(spark, sf_dir, odd):
     for _, stage in corpus_pipeline.STAGES[:3]:
         out = stage(spark, odd, sf_dir)

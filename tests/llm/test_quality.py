@@ -1,10 +1,7 @@
-import math
 import random
-import re
-import zlib
-from collections import Counter
 
 import numpy as np
+from brute_force import expected_number, quality_weights
 from pyspark.sql import functions as F
 
 from tidelog.llm import quality
@@ -71,28 +68,11 @@ def test_the_whole_query_by_brute_force(spark, sf_dir):
     """Models by counting words and pairs one by one, weights by summing logs, the k largest keys by sorting."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     good = {r[0] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()}
-    size, texts, raw, target = quality.WORDS + quality.PAIRS, {}, Counter(), Counter()
-    for doc_id, text in docs.select("doc_id", "text").collect():
-        words = [zlib.crc32(w.encode()) for w in re.findall(r"\w+|[^\w\s]+", (text or "").lower())]
-        found = [w % quality.WORDS for w in words]
-        for a, b in zip(words, words[1:], strict=False):
-            mixed = ((a * 0x9E3779B1 ^ b) % (1 << 32) * 0x85EBCA77 % (1 << 32)) >> 16
-            found.append(quality.WORDS + (0 if a == b else mixed % (quality.PAIRS - 1) + 1))
-        texts[doc_id] = found
-        raw.update(found)
-        if doc_id in good:
-            target.update(found)
-    ratio = {}
-    for part in (range(quality.WORDS), range(quality.WORDS, size)):
-        r_all, t_all = sum(raw[i] + 1e-9 for i in part), sum(target[i] for i in part)
-        for i in part:
-            r = (raw[i] + 1e-9) / r_all
-            ratio[i] = math.log((1 - quality.MIX) * (target[i] + quality.PRIOR * r) / (t_all + quality.PRIOR) + quality.MIX * r) - math.log(r)
-    weight = {d: sum(ratio[i] for i in f) for d, f in texts.items()}
+    texts = dict(map(tuple, docs.select("doc_id", "text").collect()))
+    weight = quality_weights(texts, good)
     rows = QUERIES["op2_importance_resampling"](spark, sf_dir).collect()
     assert len(rows) == len(texts) and all(abs(r["log_weight"] - weight[r["doc_id"]]) < 1e-4 for r in rows)
-    k = round(sum(min(1.0, math.exp(min(0.0, w + 3))) for w in weight.values()))
-    largest = {r["doc_id"] for r in sorted(rows, key=lambda r: -r["gumbel_key"])[:k]}
+    largest = {r["doc_id"] for r in sorted(rows, key=lambda r: -r["gumbel_key"])[: expected_number(weight)]}
     assert {r["doc_id"] for r in rows if r["selected"]} == largest
 
 

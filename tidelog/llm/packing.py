@@ -10,8 +10,6 @@ from tidelog.llm.common import WORD, staged
 
 #: Rows of a bucket that are numbered in one task, about.
 PART_ROWS = 20_000
-#: Bins of bin_top, for a coarser histogram than pack's: lengths up to EXACT themselves; above, each doubling has 512.
-EXACT, FINE = 4096, 9
 
 
 def word_count(text: Column) -> Column:
@@ -19,12 +17,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def bin_top(n: Column) -> Column:
-    """The longest length of the histogram bin that n is in: n itself up to EXACT, else n rounded up in its last bits."""
-    step = F.expr(f"shiftleft(1L, int(floor(log2(n_tokens))) - {FINE})")
-    return F.when(n <= EXACT, n).otherwise(F.ceil(n / step) * step).cast("long")
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """At most that many of the lengths (distinct, ascending) as bucket tops, with least padding in all.
 

@@ -95,10 +95,14 @@ def weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id") -> DataF
     return map_arrow(docs.select(id_col, "text"), run, with_id(docs, id_col, "log_weight double")).withColumnRenamed("id", id_col)
 
 
-def gumbel_key(doc_id: Column, seed: int) -> Column:
-    """log_weight plus Gumbel noise from the hash of the id."""
+def gumbel_noise(doc_id: Column, seed: int) -> Column:
+    """Gumbel noise from the hash of the id."""
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    return F.col("log_weight") - F.log(-F.log(uniform))
+    return -F.log(-F.log(uniform))
+
+
+def gumbel_key(doc_id: Column, seed: int) -> Column:
+    return F.col("log_weight") + gumbel_noise(doc_id, seed)
 
 
 def steps(key: Column) -> Column:
