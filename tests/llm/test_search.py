@@ -71,6 +71,67 @@ def test_pruned_and_whole_evaluation_agree(monkeypatch):
     assert 0 < index.scored < 0.7 * index.listed
 
 
+def halves(monkeypatch):
+    """Two indexes of 600 documents each, the whole of them, and queries; lists of both kinds, matrices and others."""
+    monkeypatch.setattr(search, "BLOCK", 8)
+    monkeypatch.setattr(search, "DENSE", 30)
+    rnd = np.random.default_rng(2)
+    bags = []
+    for i in range(1200):
+        t = np.unique(np.concatenate([rnd.zipf(1.3, 20) % 300, 1000 + 40 * (i % 30) + rnd.integers(0, 40, 12)])).astype(np.int64)
+        bags.append((t, rnd.integers(1, 4, len(t))))
+    named, lengths = [None if i % 37 == 5 else i for i in range(1200)], [int(n.sum()) for _, n in bags]
+    terms, df, asked = *np.unique(np.concatenate([b[0] for b in bags]), return_counts=True), np.ones(1, int)
+    made = [search.Shard(search.index_of(named[a:b], bags[a:b], lengths[a:b]), 1200, 30.0, terms, df, asked.repeat(len(terms))) for a, b in ((0, 600), (600, 1200), (0, 1200))]
+    assert all(0 < (s.column >= 0).sum() < len(s.term) for s in made)
+    return made, [np.searchsorted(terms, bags[i][0]) for i in range(0, 1200, 40)] + [np.zeros(0, int)], terms
+
+
+def answers(shard, queries, floor, k=10):
+    places = [shard.place[q] for q in queries]
+    return [x.tolist() for x in shard.answer([x[x >= 0] for x in places], k, floor)]
+
+
+def test_a_tile_answers_as_its_queries_one_by_one(monkeypatch):
+    (_, _, whole), queries, terms = halves(monkeypatch)
+    number, ids, score = answers(whole, queries, np.zeros(len(queries)))
+    for i, q in enumerate(queries):
+        one = [x.tolist() for x in whole.top(terms[q], 10)]
+        assert one == [[x for n, x in zip(number, some, strict=True) if n == i] for some in (ids, score)]
+
+
+def test_a_threshold_is_handed_on_to_the_next_shard(monkeypatch):
+    (first, second, whole), queries, _ = halves(monkeypatch)
+    none = np.zeros(len(queries))
+    before = list(zip(*answers(first, queries, none), strict=True))
+    floor = np.array([min((s for n, _, s in before if n == i), default=0) for i in range(len(queries))], float)
+    answers(second, queries, none)
+    alone, second.scored = second.scored, 0
+    after = list(zip(*answers(second, queries, floor), strict=True))
+    assert second.scored < alone and len(after) < len(before)
+    merged = sorted((n, -s, i) for n, i, s in before + after)
+    kept = [(n, i, -s) for j, (n, s, i) in enumerate(merged) if j < 10 or merged[j - 10][0] != n]
+    assert kept == list(zip(*answers(whole, queries, none), strict=True))
+
+
+def test_tiles_hold_all_queries_and_few_words(monkeypatch):
+    monkeypatch.setattr(search, "TILE", 3)
+    monkeypatch.setattr(search, "TILE_WORDS", 10)
+    sizes = [2, 2, 2, 2, 9, 1, 1, 50, 0, 0, 4]
+    made = list(search.tiles(np.append(0, np.cumsum(sizes))))
+    assert [i for t, end in made for i in range(t, end)] == list(range(len(sizes)))
+    assert all(end - t <= 3 and (end - t == 1 or sum(sizes[t:end]) <= 10) for t, end in made)
+    assert list(search.tiles(np.zeros(1, int))) == []
+
+
+def test_the_index_is_read_once_for_a_thousand_queries(spark, docs, monkeypatch):
+    calls, plain = [], search.map_arrow
+    monkeypatch.setattr(search, "map_arrow", lambda df, run, schema: calls.append(schema) or plain(df, run, schema))
+    asked = spark.createDataFrame([(i, f"a w{i % 7}") for i in range(1000)], "query_id long, text string")
+    assert search.top_k(docs(["a b", "w1 w2", "w3"]), asked, 1).count() == 1000
+    assert sum("micro" in schema for schema in calls) == 1
+
+
 def test_a_repeated_query_is_one(spark, docs):
     table = docs(["a b c", "b c d", "x y", "a x"])
     kind = "query_id long, text string"

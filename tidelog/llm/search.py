@@ -6,14 +6,21 @@ addition and ties are ties.
 
 A list keeps, for each block of documents that it has any of, where its postings begin and the largest of their scores. The
 bound of a block is the sum of these over the query's lists. The threshold is the k-th best score so far, at first that of the
-blocks of largest bounds. The cursor then goes through the blocks in order of documents: the next pivots are the blocks from
-there on whose bounds reach the threshold; all others are skipped without a look at their postings. Pivots are scored a window
-at a time, vectorised, after which the threshold is raised and the cursor moves on.
+blocks of largest bounds. The cursor then goes through the blocks in order of documents, a window at a time: its pivots are the
+blocks whose bounds reach the threshold; all others are skipped without a look at their postings. After each window the threshold
+is raised, and a task hands it on to its next shard.
+
+Alike queries go through this together, a tile of them: for the few lists that hold most of the postings, bounds and the scores of
+pivots are products of matrices, in single precision. Where these and the block maxima of the other lists can't reach the
+threshold, a pivot is dropped; elsewhere the other lists' postings are added. What may be among the k best after that, by the
+error that single precision can have, is scored again exactly.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +34,15 @@ TERM = re.compile(r"\w+")
 K1, B, UNIT = 1.2, 0.75, 1_000_000
 #: Documents of a shard, about, and of a block of it.
 SHARD, BLOCK = 8_192, 64
-#: Blocks that are scored for a first threshold, and pivots of the first window; each window is four times the one before.
-FIRST, PIVOTS = 4, 16
+#: Blocks that are scored for a first threshold, and blocks of the first window; each window is four times the one before.
+FIRST, PIVOTS = 4, 32
+#: Queries of a tile, and words of them at most (or one query); lists that are kept as a matrix. Sums of DENSE single-precision
+#: numbers are off by DENSE / 2**24 of themselves at most, a quarter of SLACK. Whole numbers below EXACT are exact in it.
+TILE, TILE_WORDS, DENSE, SLACK, EXACT = 256, 65_536, 1024, 2.0**-12, 2**24
+#: Entries whose postings are added at a time: what fits a processor's cache.
+CHUNK = 4096
 #: Queries that meet the shards in one job, about, and words of them: what is broadcast at a time.
-QUERIES, QUERY_WORDS = 512, 400_000
+QUERIES, QUERY_WORDS = 4096, 1_600_000
 #: Words of which a worker remembers the hash.
 MEMO = 100_000
 
@@ -82,78 +94,157 @@ def index_of(ids: list[int | None], bags: list[tuple[np.ndarray, np.ndarray]], l
 
 
 class Shard:
-    """An index with the scores and block maxima of some terms, those of a block of queries, which it answers one by one."""
+    """An index with the scores and block maxima of some terms, those of a block of queries, which it answers by tiles."""
 
-    def __init__(self, index: dict[str, np.ndarray], documents: int, mean: float, term: np.ndarray, df: np.ndarray):
-        """term (ascending) and df are those of all queries to come."""
-        self.ids, self.named = index["ids"], index["named"]
+    def __init__(self, index: dict[str, np.ndarray], documents: int, mean: float, term: np.ndarray, df: np.ndarray, asked: np.ndarray | None = None):
+        """term (ascending) and df are those of all queries to come; asked is how many of these have each term, one by default."""
+        self.ids = index["ids"]
         self.n, self.blocks, start = len(self.ids), -(-len(self.ids) // BLOCK), index["start"]
         #: Of the terms asked for, those that the shard has; their lists are all that is kept.
         at = np.minimum(np.searchsorted(index["term"], term), max(len(index["term"]) - 1, 0))
         known = index["term"][at] == term if len(index["term"]) else np.zeros(len(term), bool)
+        #: The place in self.term of each term asked for, -1 if the shard doesn't have it.
+        self.place = np.where(known, np.cumsum(known) - 1, -1)
         at, df, self.term = at[known], df[known].astype(np.float64), term[known]
-        size = start[at + 1] - start[at]
+        self.size = start[at + 1] - start[at]
+        first = np.append(0, np.cumsum(self.size))
         posting = ranges(start[at], start[at + 1])
-        self.start = np.append(0, np.cumsum(size))
-        self.doc, tf = index["doc"][posting].astype(np.int64), index["tf"][posting].astype(np.float64)
+        doc, tf = index["doc"][posting].astype(np.int32), index["tf"][posting].astype(np.float64)
+        del posting
         norm = K1 * (1 - B + B * index["length"] / (mean or 1))
         idf = UNIT * np.log(1 + (documents - df + 0.5) / (df + 0.5))
-        #: Scores of postings, in whole millionths: below 2**53, so sums of them are exact.
-        self.score = np.rint(np.repeat(idf, size) * (tf * (K1 + 1) / (tf + norm[self.doc])))
-        block = self.doc // BLOCK
-        first = np.append(True, block[1:] != block[:-1])[: len(block)]
-        first[self.start[:-1]] = True
-        #: Entries of lists: the first posting, the block and the largest score of each block that a list has any of.
-        self.entry = np.append(np.flatnonzero(first), len(block))
-        self.block = block[self.entry[:-1]]
-        self.most = np.maximum.reduceat(self.score, self.entry[:-1]) if len(block) else self.score
-        self.first_entry = np.searchsorted(self.entry, self.start)
+        # Scores of postings, in whole millionths: sums of them are exact. Documents without an id have none.
+        score = tf * (K1 + 1)
+        tf += norm[doc]
+        score /= tf
+        del tf
+        score *= np.repeat(idf, self.size)
+        np.rint(score, out=score)
+        score *= index["named"][doc]
+        # Entries of lists: the first posting, the block and the largest score of each block that a list has any of.
+        block = doc // BLOCK
+        new = np.append(True, block[1:] != block[:-1])[: len(block)]
+        new[first[:-1]] = True
+        entry = np.append(np.flatnonzero(new), len(block))
+        block, count = block[entry[:-1]], np.diff(entry)
+        most = np.maximum.reduceat(score, entry[:-1]) if len(block) else score
+        first_entry = np.searchsorted(entry, first)
+        # The lists of most work are matrices: scores by document, block maxima and numbers of postings by block.
+        some = np.sort(np.argsort(-self.size * (1 if asked is None else asked[known]), kind="stable")[:DENSE])
+        if len(some):
+            some = some[np.maximum.reduceat(most, first_entry[:-1])[some] < EXACT]
+        self.column = np.full(len(self.term), -1)
+        self.column[some] = np.arange(len(some))
+        self.weight = np.zeros((self.blocks * BLOCK, len(some)), np.float32)
+        at = ranges(first[some], first[some + 1])
+        self.weight[doc[at], np.repeat(np.arange(len(some)), self.size[some])] = score[at]
+        self.high, self.count = np.zeros((2, len(some), self.blocks), np.float32)
+        at, entries = ranges(first_entry[some], first_entry[some + 1]), np.diff(first_entry)
+        to = np.repeat(np.arange(len(some)), entries[some]), block[at]
+        self.high[to], self.count[to] = most[at], count[at]
+        # Of the others, postings hold the score and the place in the block: scores are below 2**26, and a block's places below 2**6.
+        other = np.repeat(self.column < 0, self.size)
+        self.posting = (score[other] * BLOCK + doc[other] % BLOCK).astype(np.uint32)
+        entries[some] = 0
+        other = other[entry[:-1]]
+        self.block, self.most, self.first_entry = block[other], most[other], np.append(0, np.cumsum(entries))
+        self.entry = np.append(0, np.cumsum(count[other])).astype(np.int32)
         #: Postings that were scored, of how many in the lists of the queries so far.
         self.scored = self.listed = 0
 
     def top(self, term: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best documents with a positive score; of equal scores the smaller ids."""
-        score = np.zeros(self.n)
-        if len(self.term) and k > 0:
-            at = np.minimum(np.searchsorted(self.term, term), len(self.term) - 1)
-            at = at[self.term[at] == term]
-            self.listed += int((self.start[at + 1] - self.start[at]).sum())
-            threshold = self.wand(at, k, score)
-            best = np.flatnonzero(score >= threshold)
-        else:
-            best = np.zeros(0, int)
-        best = best[np.lexsort((self.ids[best], -score[best]))[:k]]
-        return self.ids[best], score[best].astype(np.int64)
-
-    def wand(self, at: np.ndarray, k: int, score: np.ndarray) -> float:
-        """Puts in the scores of all documents that may be among the k best; the last threshold, which these reach."""
+        at = np.flatnonzero(np.isin(self.term, term, assume_unique=True))
+        return self.answer([at], k, np.zeros(1))[1:]
+
+    def answer(self, asked: list[np.ndarray], k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best documents of a tile of queries, given as places in self.term: numbers of queries, ids and scores.
+
+        Documents with less than a query's floor may be left out, so there may be less than k.
+        """
+        q, (row, doc, score) = len(asked), self.wand(asked, k, floor)
+        order = np.lexsort((self.ids[doc], -score, row))
+        row, doc, score = row[order], doc[order], score[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, np.arange(q))[row]
+        kept = rank < k
+        return row[kept], self.ids[doc[kept]], score[kept].astype(np.int64)
+
+    def wand(self, asked: list[np.ndarray], k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, documents and exact scores of all documents that may be among the k best of a query."""
+        q, threshold = len(asked), np.maximum(floor, 1.0)
+        row, at = np.repeat(np.arange(q), [len(a) for a in asked]), np.concatenate(asked)
+        if not len(at) or k < 1:
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        self.listed += int(self.size[at].sum())
+        column, has = self.column[at], np.zeros((q, self.weight.shape[1]), np.float32)
+        has[row[column >= 0], column[column >= 0]] = 1
+        row, at = row[column < 0], at[column < 0]
+        # The entries of the other lists.
         entry = ranges(self.first_entry[at], self.first_entry[at + 1])
-        block = self.block[entry]
-        bound = np.bincount(block, self.most[entry], self.blocks)
-
-        def evaluate(pivots: np.ndarray) -> float:
-            """Scores the documents of some blocks; the threshold after that."""
-            chosen = np.zeros(self.blocks, bool)
-            chosen[pivots] = True
-            some = entry[chosen[block]]
-            # Entries that follow each other are one stretch of postings.
-            last = np.append(some[1:] != some[:-1] + 1, True)[: len(some)]
-            first = np.append(True, last[:-1])[: len(some)]
-            posting = ranges(self.entry[some[first]], self.entry[some[last] + 1])
-            doc, value = self.doc[posting], self.score[posting]
-            self.scored += len(doc)
-            found = np.bincount(doc, value, self.n)
-            found[~self.named] = 0
-            np.add(score, found, out=score)
-            bound[pivots] = -1
-            return max(1.0, np.partition(score, -k)[-k]) if self.n >= k else 1.0
-
-        threshold = evaluate(np.argpartition(-bound, FIRST)[:FIRST] if FIRST < self.blocks else np.arange(self.blocks))
-        cursor, width = 0, PIVOTS
-        while len(pivots := cursor + np.flatnonzero(bound[cursor:] >= threshold)[:width]):
-            threshold = evaluate(pivots)
-            cursor, width = int(pivots[-1]) + 1, width * 4
-        return threshold
+        place = np.repeat(row * self.blocks, self.first_entry[at + 1] - self.first_entry[at]) + self.block[entry]
+        others = np.bincount(place, self.most[entry], q * self.blocks).reshape(q, self.blocks)
+        bound, count = (has @ self.high + others) * (1 + SLACK), has @ self.count
+        done = np.zeros((q, self.blocks), bool)
+
+        def evaluate(pivots: np.ndarray) -> list[np.ndarray]:
+            """Scores the documents of some blocks, by query: queries, blocks, scores and the other lists' part of them.
+
+            Blocks that can't reach the threshold are left out.
+            """
+            self.scored += int(count[pivots].sum())
+            done[pivots] = True
+            rows, blocks, dense = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros((0, BLOCK), np.float32)]
+            for b in np.flatnonzero(pivots.any(0)):
+                at = np.flatnonzero(pivots[:, b])
+                part = has[at] @ self.weight[b * BLOCK : (b + 1) * BLOCK].T
+                reach = (part.max(1) + others[at, b]) * (1 + SLACK) >= threshold[at]
+                rows.append(at[reach])
+                blocks.append(np.full(len(rows[-1]), b))
+                dense.append(part[reach])
+            rows, blocks, dense = np.concatenate(rows), np.concatenate(blocks), np.concatenate(dense)
+            slot = np.full(q * self.blocks, -1)
+            slot[rows * self.blocks + blocks] = np.arange(len(rows))
+            at = slot[place]
+            some = np.flatnonzero(at >= 0)
+            rare = np.zeros((len(rows), BLOCK), np.int64)
+            for i in range(0, len(some), CHUNK):
+                part = entry[some[i : i + CHUNK]]
+                start, size = self.entry[part], self.entry[part + 1] - self.entry[part]
+                before = np.cumsum(size)
+                self.scored += int(before[-1])
+                posting = np.repeat(start - before + size, size)
+                posting += np.arange(before[-1])
+                posting = self.posting[posting]
+                np.add.at(rare.ravel(), np.repeat(at[some[i : i + CHUNK]] * BLOCK, size) + posting % BLOCK, (posting // BLOCK).astype(np.int64))
+            return [rows, blocks, dense + rare, rare]
+
+        best = [np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int)]
+
+        def keep(rows: np.ndarray, blocks: np.ndarray, found: np.ndarray, rare: np.ndarray) -> None:
+            """Adds the documents that reach the threshold to the best ones, and raises it."""
+            at, doc = np.nonzero(found >= (threshold * (1 - SLACK))[rows][:, None])
+            best[:] = [np.concatenate(x) for x in zip(best, (rows[at], blocks[at] * BLOCK + doc, found[at, doc], rare[at, doc]), strict=True)]
+            order = np.lexsort((-best[2], best[0]))
+            first = np.searchsorted(best[0][order], np.arange(q + 1))
+            full = np.flatnonzero(np.diff(first) >= k)
+            threshold[full] = np.maximum(threshold[full], best[2][order[first[full] + k - 1]] * (1 - SLACK))
+            order = order[best[2][order] >= (threshold * (1 - SLACK))[best[0][order]]]
+            best[:] = [x[order] for x in best]
+
+        n = min(FIRST, self.blocks)
+        pivots = np.zeros((q, self.blocks), bool)
+        pivots[np.arange(q)[:, None], np.argpartition(-bound, n - 1, axis=1)[:, :n]] = True
+        keep(*evaluate(pivots & (bound >= threshold[:, None])))
+        cursor, window = 0, PIVOTS
+        while cursor < self.blocks:
+            pivots = (bound >= threshold[:, None]) & ~done
+            pivots[:, :cursor] = pivots[:, cursor + window :] = False
+            keep(*evaluate(pivots))
+            cursor, window = cursor + window, window * 4
+        at, doc, _, rare = best
+        exact = rare + (self.weight[doc] * has[at]).sum(1, dtype=np.float64)
+        kept = exact >= np.maximum(floor, 1.0)[at]
+        return at[kept], doc[kept], exact[kept]
 
 
 def build(docs: DataFrame, shard: int) -> DataFrame:
@@ -200,6 +291,31 @@ def statistics(index: DataFrame) -> tuple[int, float, DataFrame]:
     return n, whole.get(-2, 0) / n if n else 0.0, rows.where("term >= 0")
 
 
+def tile_order(queries: pa.Table) -> tuple[np.ndarray, ...]:
+    """Queries (query_id, term, df), the alike beside each other: by their most frequent term (much the language), then length.
+
+    Returned as ids, where each one's terms begin, the terms as places among the distinct ones, these (ascending), their document
+    frequencies, and how many queries have each.
+    """
+    ids, size = queries["query_id"].to_numpy(), np.array([len(t) for t in queries["term"]], int)
+    term, df = (np.concatenate([c.flatten().to_numpy().astype(np.int64) for c in queries[n].chunks] or [np.zeros(0, np.int64)]) for n in ("term", "df"))
+    start = np.cumsum(size) - size
+    top = np.lexsort((term, -df, np.repeat(np.arange(len(ids)), size)))[start]
+    order = np.lexsort((ids, size, term[top]))
+    every, first, at, asked = np.unique(term, return_index=True, return_inverse=True, return_counts=True)
+    at = at[ranges(start[order], start[order] + size[order])].astype(np.int32)
+    return ids[order], np.append(0, np.cumsum(size[order])), at, every, df[first], asked
+
+
+def tiles(first: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where tiles of queries begin and end, given where the words of each query begin, and the last one's end."""
+    t = 0
+    while t < len(first) - 1:
+        end = max(t + 1, min(t + TILE, int(np.searchsorted(first, first[t] + TILE_WORDS, "right")) - 1))
+        yield t, end
+        t = end
+
+
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of each of queries (query_id, text), exactly.
 
@@ -228,13 +344,19 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD)
 
     def answer(block):
         def run(batches):
-            asked, term, df = block.value
+            ids, first, at, term, df, asked = block.value
+            best = np.zeros((len(ids), max(k, 1)))
             for b in batches:
-                for row in b.to_pylist():
-                    shard, out = Shard({n: np.frombuffer(row[n], kind) for n, kind in INDEX.items()}, documents, mean, term, df), []
-                    for query_id, some in asked:
-                        found, score = shard.top(some, k)
-                        out.append((np.full(len(found), query_id), found, score))
+                for i in range(len(b)):
+                    index = {n: np.frombuffer(b.column(n)[i].as_buffer(), kind) for n, kind in INDEX.items()}
+                    shard, out = Shard(index, documents, mean, term, df, asked), []
+                    for t, end in tiles(first):
+                        some = [shard.place[at[i:j]] for i, j in itertools.pairwise(first[t : end + 1])]
+                        number, found, score = shard.answer([x[x >= 0] for x in some], k, best[t:end, -1])
+                        out.append((ids[t + number], found, score))
+                        new = np.zeros((len(some), best.shape[1]))
+                        new[number, np.arange(len(number)) - np.searchsorted(number, number)] = score
+                        best[t:end] = -np.sort(-np.append(best[t:end], new, axis=1))[:, : best.shape[1]]
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["query_id", "doc_id", "micro"])
 
@@ -243,11 +365,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD)
     path, kind = shared_dir(docs.sparkSession), "query_id long, doc_id long, micro long"
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("micro").desc(), "doc_id"))
     for number in range(blocks):
-        some = words.where(F.pmod("h", F.lit(blocks)) == number).select("query_id", "term", "df").collect()
-        asked = [(q, np.array(t, np.int64)) for q, t, _ in some]
-        every, at = np.unique(np.concatenate([t for _, t in asked] or [np.zeros(0, np.int64)]), return_index=True)
-        held = np.concatenate([np.array(n, np.int64) for _, _, n in some] or [np.zeros(0, np.int64)])
-        block = docs.sparkSession.sparkContext.broadcast((asked, every, held[at]))
+        block = docs.sparkSession.sparkContext.broadcast(tile_order(words.where(F.pmod("h", F.lit(blocks)) == number).select("query_id", "term", "df").toArrow()))
         found = map_arrow(index, answer(block), kind)
         found.withColumn("rank", rank).where(F.col("rank") <= k).write.mode("append").parquet(path)
         block.unpersist()
